@@ -77,3 +77,29 @@ def ship(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def map_texts(df: DataFrame, make, schema: str, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Run ``make()(ids, texts, *extra) -> arrays`` over Arrow batches of id and text.
+
+    ``make`` is called once for each task and returns the function for batches; what that returns
+    are the columns after the id. ``schema`` is theirs; the id keeps its type. Only these columns are
+    read, so other columns of the input may have any name."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ship(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in extra))
+    out = StructType([rows.schema["doc_id"], *StructType.fromDDL(schema).fields])
+    fields = to_arrow_schema(out)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            if batch.num_rows:
+                columns = work(batch.column(0), *(batch.column(k).to_pylist() for k in range(1, batch.num_columns)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(fields.field(0).type), *(c if isinstance(c, pa.Array) else pa.array(c, type=fields.field(k + 1).type) for k, c in enumerate(columns))], schema=fields)
+
+    return rows.mapInArrow(run, out)

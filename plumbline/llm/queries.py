@@ -9,9 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from . import secrets, token_counts
 from .quality import METRICS, RULES, STOP_WORDS, quality
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda x: x["kind"] != "markov")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return secrets.scan(documents(spark, sf_dir)).select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), count("markov").alias("n_markov")
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select("doc_id", *METRICS, "base_failed", "kept")
 
@@ -44,5 +65,9 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT *, NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op5_secret_scan": op5_secret_scan,
+    "op6_token_counts": op6_token_counts,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE_SQL = {"op10_quality_rules": _quality_sql()}
