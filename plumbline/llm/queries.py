@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, line_dedup, secrets, sharding, token_counts
 from .common import documents
-from . import secrets, token_counts
 from .quality import METRICS, RULES, STOP_WORDS, quality
 
 
@@ -20,6 +20,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return sharding.shuffled(documents(spark, sf_dir), 24).select(
+        "doc_id",
+        (sharding.text_size(text) + 8).alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = lambda x: F.concat_ws(":", x["line"].cast("string"), x["last"].cast("string"))
+    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", F.coalesce(F.array_join(F.transform("runs", span), ","), F.lit("")).alias("deleted_runs"), "text")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"] != "markov")
@@ -33,6 +51,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["item"].cast("string"))))
+    found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select("doc_id", *METRICS, "base_failed", "kept")
 
@@ -66,8 +90,11 @@ SELECT *, NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {"op10_quality_rules": _quality_sql()}

@@ -1,0 +1,50 @@
+"""Small tables of documents with the cases that every operator has to take."""
+
+import random
+
+import pytest
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def some_texts(n: int, seed: int) -> list[str | None]:
+    """Texts with shared lines, copies, near copies, repeated rows, blanks and a long one."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdeéüñ", k=r.randint(1, 7))) for _ in range(150)]
+    sentence = lambda k: " ".join(r.choices(words, k=k)).capitalize() + "."
+    shared = [sentence(r.randint(1, 30)) for _ in range(12)]
+    texts: list[str | None] = []
+    for k in range(n):
+        kind = r.random()
+        if kind < 0.15 and texts:
+            texts.append(r.choice(texts))
+        elif kind < 0.35 and any(texts):
+            near = r.choice([t for t in texts if t]).split(" ")
+            near[r.randrange(len(near))] = r.choice(words)
+            texts.append(" ".join(near))
+        elif kind < 0.45:
+            texts.append(r.choice([None, "", "  \n\t ", "\n", "a", "Z 9", "## *** !!", "\n\nx\n\n"]))
+        else:
+            lines = [r.choice(shared) if r.random() < 0.5 else sentence(r.randint(1, 40)) for _ in range(r.randint(1, 9))]
+            at = r.randrange(len(shared) - 3)
+            lines[r.randint(0, len(lines)) :] = shared[at : at + 3] * (r.random() < 0.4) + lines[r.randint(0, len(lines)) :]
+            texts.append("\n".join(lines))
+    texts.append("\n".join(sentence(r.randint(1, 25)) for _ in range(300)))
+    return texts
+
+
+@pytest.fixture(scope="session")
+def rows():
+    texts = some_texts(150, 5)
+    out = [(k, t, ("en", "de", None)[k % 3], "hot", len(t or "")) for k, t in enumerate(texts)]
+    return [*out, (None, "A row without id.", "en", None, 17), (3, texts[3], None, None, None)]
+
+
+@pytest.fixture(scope="session")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)

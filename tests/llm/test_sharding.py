@@ -1,0 +1,52 @@
+from collections import Counter, defaultdict
+
+import pytest
+
+from plumbline.llm import sharding
+
+
+def test_counts_slots_and_rows(docs, rows):
+    got = sharding.shuffled(docs, 7).collect()
+    assert Counter(map(tuple, rows)) == Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(7))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_order_is_mixed_and_seeded(docs):
+    order = lambda seed: [r.doc_id for r in sharding.shuffled(docs, 1, seed=seed).orderBy("slot").collect()]
+    one, two = order(1), order(2)
+    assert one != two
+    rank = [x for x in one if x is not None]
+    close = sum(abs(a - b) == 1 for a, b in zip(rank, rank[1:], strict=False))
+    assert close < 15  # of 151 neighbours; 2 are expected
+
+
+def test_one_hot_key(spark):
+    df = spark.createDataFrame([(1, "same")] * 400 + [(k, None) for k in range(2)], "doc_id bigint, text string")
+    buckets = sharding.shuffled(df, 3)
+    assert Counter(r.shard for r in buckets.collect()) == {0: 134, 1: 134, 2: 134}
+
+
+def test_more_shards_than_rows_and_no_rows(spark, empty):
+    df = spark.createDataFrame([(k, "x") for k in range(3)], "doc_id bigint, text string")
+    assert sorted((r.shard, r.slot) for r in sharding.shuffled(df, 5).collect()) == [(0, 0), (1, 0), (2, 0)]
+    assert sharding.shuffled(empty, 5).collect() == []
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x", 2)], "doc_id bigint, text string, Slot int")
+    with pytest.raises(ValueError, match="slot"):
+        sharding.shuffled(df, 2)
+    other = spark.createDataFrame([(1, "x", 2, 3)], "doc_id bigint, text string, bucket int, row int")
+    assert [tuple(r) for r in sharding.shuffled(other, 1).collect()] == [(1, "x", 2, 3, 0, 0)]
+
+
+def test_written_shards(spark, docs, rows, tmp_path):
+    sharding.write_shards(docs, f"file://{tmp_path}/out", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.count() == len(rows)
+    assert sorted(p.name for p in (tmp_path / "out").glob("shard=*")) == [f"shard={k}" for k in range(4)]
