@@ -53,11 +53,11 @@ def shuffled(df: DataFrame, n_shards: int, *, seed: int = 42, id_col: str = "doc
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)))
     scattered = df.select(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id()), F.lit(n_buckets)).alias("bucket"), row.alias("row"))
     permuted = scattered.groupBy("bucket").agg(F.shuffle(F.collect_list("row"), seed).alias("rows"))
-    buckets = scratch.cut(permuted.select("bucket", F.size("rows").cast("long").alias("n"), "rows"), "buckets")
-    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    offsets = _offsets(buckets.select("bucket", "n"))
-    placed = buckets.join(F.broadcast(offsets) if n_buckets <= BROADCAST_BUCKETS else offsets, "bucket")
-    rows = placed.select("base", F.posexplode("rows").alias("at", "row")).select((F.col("base") + F.col("at")).alias("place"), "row")
+    buckets = scratch.cut(permuted.select("bucket", F.posexplode("rows").alias("at", "row")), "buckets")
+    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    total = buckets.count()
+    offsets = _offsets(counts)
+    rows = buckets.join(F.broadcast(offsets) if n_buckets <= BROADCAST_BUCKETS else offsets, "bucket").select((F.col("base") + F.col("at")).alias("place"), "row")
     # The first total % n_shards shards have one row more than the others.
     least, more = divmod(total, n_shards)
     ahead = more * (least + 1)
