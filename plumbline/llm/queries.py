@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, secrets, sharding, token_counts
+from . import decontaminate, line_dedup, minhash, secrets, sharding, token_counts
 from .common import documents
 from .quality import METRICS, RULES, STOP_WORDS, quality
 
@@ -51,6 +51,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=5, percent=85)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["item"].cast("string"))))
     found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -94,6 +98,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
+    "op8_minhash": op8_minhash,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
