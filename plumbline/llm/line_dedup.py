@@ -156,18 +156,18 @@ def dedup(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"), _n_words(x).alias("n")))
     lines = (
         docs.select(F.col("_key").alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.filter(numbered, lambda x: x["n"] > 0).alias("own"))
-        .where(F.size("own") > 0)
         .select("key", "doc_id", F.transform("own", lambda x: x["i"]).alias("nb"), F.transform("own", lambda x: x["n"]).alias("n"), F.transform("own", lambda x: F.struct(F.xxhash64(x["x"]).alias("a"), F.xxhash64(F.lit(1), x["x"], F.length(x["x"])).alias("b"))).alias("ids"))
         .select("key", "doc_id", "nb", "ids", _wanted(F.col("n"), min_words).alias("wanted"))
     )
-    ranks = _ranks(scratch.cut(lines, "lines"), scratch, levels)
+    # The filter stands behind the cut: before it, it would be pushed down and the lines be split twice.
+    ranks = _ranks(scratch.cut(lines, "lines").where(F.size("nb") > 0), scratch, levels)
     runs = _later(ranks, levels).select(F.col("key").alias("_key"), _merged(F.col("spans")).alias("runs"))
     whole = docs.join(runs, "_key", "left")
     gone = lambda i: F.exists("runs", lambda r: (i >= r["line"]) & (i <= r["last"]))
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~gone(i)), "\n")
     count = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["line"] + 1)
     added = {
-        "n_lines": F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0).cast("long"),
+        "n_lines": F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long"),
         "n_deleted": F.coalesce(count, F.lit(0)).cast("long"),
         text_col: F.when(F.col("runs").isNull(), text).otherwise(rest),
     }
