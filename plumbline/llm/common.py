@@ -10,6 +10,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Keys with a number (16 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 19
 
 #: Words are runs of anything but ASCII white space.
 SPACE = " \t\n\x0b\x0c\r"
@@ -75,6 +80,15 @@ def ship(spark: SparkSession) -> None:
     context._plumbline_shipped = True
 
 
+def running_base(sums: DataFrame, key: str, n: str) -> DataFrame:
+    """key (numbers, each once) and base: the sum of n over smaller keys; first within blocks of 1024 keys, then over blocks."""
+    blocks = sums.select(key, n, F.floor(F.col(key) / 1024).alias("block"))
+    inner = Window.partitionBy("block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.groupBy("block").agg(F.sum(n).alias("m")).select("block", F.coalesce(F.sum("m").over(outer), F.lit(0)).alias("start"))
+    return blocks.withColumn("within", F.coalesce(F.sum(n).over(inner), F.lit(0))).join(ahead, "block").select(key, (F.col("start") + F.col("within")).alias("base"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -86,7 +100,6 @@ def map_texts(df: DataFrame, make, schema: str, *, id_col: str = "doc_id", text_
     are the columns after the id. ``schema`` is theirs; the id keeps its type. Only these columns are
     read, so other columns of the input may have any name."""
     import pyarrow as pa
-    from pyspark.sql import functions as F
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, secrets, sharding, token_counts
+from . import decontaminate, language, line_dedup, minhash, pieces, secrets, sharding, token_counts, token_output
 from .common import documents
 from .quality import METRICS, RULES, STOP_WORDS, quality
 
@@ -33,6 +33,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    made = token_output.TokenOutput(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end=50256)
+    return made.sequences().select("slot", "shard", "sequence", "doc_ids", F.size("doc_ids").cast("long").alias("n_docs"), F.crc32("tokens").alias("tokens_crc32"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = lambda x: F.concat_ws(":", x["line"].cast("string"), x["last"].cast("string"))
     return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", F.coalesce(F.array_join(F.transform("runs", span), ","), F.lit("")).alias("deleted_runs"), "text")
@@ -51,6 +62,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), size=5, percent=85)
 
@@ -95,9 +110,12 @@ SELECT *, NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_token_output": op2_token_output,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
+    "op7_language": op7_language,
     "op8_minhash": op8_minhash,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,

@@ -20,29 +20,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import BROADCAST_KEYS, Scratch, running_base
 
 #: Bytes of texts in a bucket.
 BUCKET_BYTES = 4 << 20
-#: Buckets whose offsets (16 bytes each) may be broadcast; more are joined by a shuffle.
-BROADCAST_BUCKETS = 1 << 19
 
 
 def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def _offsets(counts: DataFrame) -> DataFrame:
-    """bucket and base: the rows in smaller buckets; sums over blocks of 1024 buckets, then over blocks."""
-    blocks = counts.withColumn("block", F.floor(F.col("bucket") / 1024))
-    inner = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.groupBy("block").agg(F.sum("n").alias("m")).select("block", F.coalesce(F.sum("m").over(outer), F.lit(0)).alias("start"))
-    return blocks.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(before, "block").select("bucket", (F.col("start") + F.col("within")).alias("base"))
-
-
 def shuffled(df: DataFrame, n_shards: int, *, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The input's columns with shard (int) and slot (long): gapless from 0 in each shard, in random order."""
     if clash := {"shard", "slot"} & {c.lower() for c in df.columns}:
@@ -56,8 +44,8 @@ def shuffled(df: DataFrame, n_shards: int, *, seed: int = 42, id_col: str = "doc
     buckets = scratch.cut(permuted.select("bucket", F.posexplode("rows").alias("at", "row")), "buckets")
     counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     total = buckets.count()
-    offsets = _offsets(counts)
-    rows = buckets.join(F.broadcast(offsets) if n_buckets <= BROADCAST_BUCKETS else offsets, "bucket").select((F.col("base") + F.col("at")).alias("place"), "row")
+    offsets = running_base(counts, "bucket", "n")
+    rows = buckets.join(F.broadcast(offsets) if n_buckets <= BROADCAST_KEYS else offsets, "bucket").select((F.col("base") + F.col("at")).alias("place"), "row")
     # The first total % n_shards shards have one row more than the others.
     least, more = divmod(total, n_shards)
     ahead = more * (least + 1)

@@ -1,0 +1,73 @@
+import random
+import zlib
+
+import pytest
+
+from plumbline.llm import language
+from plumbline.llm.language import Model, identify
+
+
+def made_texts(n, seed):
+    """Texts in three invented languages: each has its own syllables."""
+    r = random.Random(seed)
+    syllables = {"aa": "ka to mi ru sen ya no".split(), "bb": "sch ung ein er der ß ü".split(), "cc": "ção os ez que la do ñ".split()}
+    out = []
+    for _ in range(n):
+        lang = r.choice(sorted(syllables))
+        out.append((" ".join("".join(r.choices(syllables[lang], k=r.randint(1, 4))) for _ in range(r.randint(3, 60))).capitalize() + ".", lang))
+    return out
+
+
+def test_held_out_accuracy(spark):
+    rows = [(k, t, x) for k, (t, x) in enumerate(made_texts(600, 1))]
+    rows = [(k, t, None if k % 50 == 0 else x) for k, t, x in rows]
+    got = identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out and rows[r.doc_id][2]]
+    assert len(held) > 100
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_learns_from_nothing_held_out(spark):
+    """A language that only held-out rows have is never predicted; a rare one is learned."""
+    texts = made_texts(300, 3)
+    rows = [(k, t, "only" if zlib.crc32(str(k).encode()) % 4 == 2 else x) for k, (t, x) in enumerate(texts)]
+    free = [k for k in range(300) if zlib.crc32(str(k).encode()) % 4 != 2]
+    for k in free[:3]:
+        rows[k] = (k, "жзи клм нопр " * 9, "rare")
+    rows.append((1000, "клм жзи жзи", None))
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert {r.lang_pred for r in got.values()} == {"aa", "bb", "cc", "rare"}
+    assert got[1000].lang_pred == "rare"
+
+
+def test_kernel_is_shared_grams():
+    """The folded matrix gives what the kernel's definition gives."""
+    texts, langs = zip(*made_texts(40, 7), strict=True)
+    m = Model(list(texts), list(langs), landmarks=40)
+
+    def grams(t):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        return {s[k : k + n] for n in (1, 2, 3) for k in range(len(s) - n + 1)}
+
+    rows = m.presence(list(texts))
+    for a in range(0, 40, 7):
+        for b in range(0, 40, 5):
+            assert rows[a] @ rows[b] == len(grams(texts[a]) & grams(texts[b]))
+
+
+@pytest.mark.parametrize("text", [None, "", "  \n", "12 34 !?", "١٢"])
+def test_no_letters(text):
+    m = Model(["ab", "cd"], ["x", "y"])
+    assert m.predict([text, "ab"]) [0] == ["und", "x"]
+
+
+def test_edges(spark, docs, rows, empty):
+    assert identify(empty).collect() == []
+    got = identify(docs).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= {"en", "de", "und"}
+    nothing = spark.createDataFrame([(1, "abc", None, "x"), (None, "abc", "en", "y")], "doc_id bigint, text string, lang string, score string")
+    assert [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in identify(nothing).collect()] == [(1, False, "und", 0.0), (None, False, "und", 0.0)]
+    hot = spark.createDataFrame([(5, "abc", "en")] * 300 + [(6, "xyz", "de")] * 2, "doc_id bigint, text string, lang string")
+    assert len(language.training_sample(hot)) <= 2

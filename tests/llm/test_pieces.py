@@ -1,0 +1,87 @@
+import io
+import random
+
+import pytest
+
+from plumbline.llm import pieces
+from plumbline.llm.pieces import Codec, PieceModel, decode, encode
+
+sentencepiece = pytest.importorskip("sentencepiece")
+public = pytest.importorskip("public_tokenizers")
+MODEL = public.path("piece_bpe_32k.model")
+ODD = ["", " ", "   ", "a", " a", "a ", "  a  b ", "<s>", "</s> x", "▁▁ a▁b", "a" * 23, "=" * 31, "\n\n\t x", "日本語 テキスト 😀😀", "é \x00 �", "x" * 5000, " " * 37 + "b", "<0x0A> <unk>", "\r\n\n\n \n▁\n", "aaaa aaaaa\naaaaaaa  bbbbbbb", "e.g., this; that: (what?!) ...no"]
+
+
+def random_texts(n, seed=2):
+    r = random.Random(seed)
+    return ["".join(r.choices("aab  c\n.,é▁日1<>", k=r.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("verify", [True, False])
+def test_parity_with_the_library(verify):
+    c, other = Codec(open(MODEL, "rb").read(), verify=verify), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ODD + random_texts(3000)
+    got = [ids.tolist() for ids, _ in c.encode(texts)]
+    want = other.encode(texts)
+    wrong = sum(a != b for a, b in zip(got, want, strict=True))
+    assert wrong == 0 if verify else wrong < 30
+    for ids, text in zip(want, texts, strict=True):
+        assert c.decode(ids) == other.decode(ids) == c.restored(text)
+
+
+def test_query_columns(docs, rows, spark):
+    other = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = encode(docs, MODEL)
+    want = sorted(((k, other.encode(t or "")) for k, t, *_ in rows), key=str)
+    found = got.collect()
+    assert sorted(((r.doc_id, r.token_ids) for r in found), key=str) == want
+    assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in found)
+    back = decode(got, MODEL).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((k, other.decode(other.encode(t or ""))) for k, t, *_ in rows), key=str)
+    none = spark.createDataFrame([(1, None)], "doc_id bigint, token_ids array<int>")
+    assert decode(none, MODEL).first().text is None
+
+
+def test_unigram_models():
+    """A unigram model in the same format, made by hand: scores, byte fallback and trimmed spaces."""
+
+    def message(*parts):
+        out = b""
+        for number, value in parts:
+            if isinstance(value, bytes):
+                out += bytes([number << 3 | 2]) + varint(len(value)) + value
+            elif isinstance(value, float):
+                import struct
+
+                out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+            else:
+                out += varint(number << 3) + varint(value)
+        return out
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    own = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    own += [("▁", -2.0, 1), ("▁a", -2.5, 1), ("ab", -3.0, 1), ("a", -3.5, 1), ("b", -3.6, 1), ("bab", -4.0, 1), ("▁ab", -5.0, 1), ("ba", -3.2, 1)]
+    raw = b"".join(message((1, message((1, p.encode()), (2, s), (3, t)))) for p, s, t in own)
+    raw += message((2, message((3, 1), (35, 1), (40, 0), (41, 1), (42, 2))), (3, message((1, b"identity"), (3, 1), (4, 1), (5, 1))))
+    c, other = Codec(raw, verify=False), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    assert c.model.kind == pieces.UNIGRAM and c.model.trim and c.model.byte_fallback
+    r = random.Random(4)
+    texts = ["".join(r.choices("aab  z", k=r.randint(0, 14))) for _ in range(400)]
+    assert [ids.tolist() for ids, _ in c.encode(texts)] == other.encode(texts)
+    assert io.BytesIO(raw).read(1) == b"\n"
+
+
+def test_parse_and_refuse():
+    m = PieceModel.parse(open(MODEL, "rb").read())
+    assert (len(m.pieces), m.kind, m.byte_fallback, m.dummy_prefix, m.trim) == (32000, pieces.BPE, True, True, False)
+    with pytest.raises(ValueError, match="wire type"):
+        list(pieces.fields(b"\x0b"))
+
+
+def test_empty(empty):
+    assert encode(empty, MODEL).collect() == []
