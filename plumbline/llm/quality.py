@@ -103,8 +103,10 @@ def _repeated(words: str, windows: str) -> Column:
     return F.when(F.size(F.array_distinct(F.col(windows))) == F.size(windows), F.lit(0)).otherwise(some).cast("long")
 
 
-def metrics(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
-    """id and the METRICS of each text, all long."""
+def metrics(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stop_words: Sequence[str] = tuple(STOP_WORDS), keep: Sequence[str] = ()) -> DataFrame:
+    """id and the METRICS of each text, all long; columns to keep are in a struct ``row``."""
+    row = [F.struct(*(F.col(f"`{c}`").alias(c) for c in keep)).alias("row")] if keep else []
+    also = ["row"] * bool(keep)
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = F.lit(SPACE)
     # What is left of a text without its ordinary characters is short; the counts below are taken from it.
@@ -114,11 +116,12 @@ def metrics(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", st
     stops = sorted({y for x in stop_words for y in (x, x.capitalize(), x.upper())})
     first, last = (lambda x: F.substring(F.ltrim(x), 1, 2)), (lambda x: F.rtrim(x))
     return (
-        df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .select("doc_id", words_of(F.col("text")).alias("words"), F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, blank)) > 0).alias("lines"), marks.alias("marks"))
-        .select("doc_id", "words", "lines", "marks", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-        .select("doc_id", "words", "lines", "marks", _windows("hashes").alias("windows"))
+        df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row)
+        .select(*also, "doc_id", words_of(F.col("text")).alias("words"), F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, blank)) > 0).alias("lines"), marks.alias("marks"))
+        .select(*also, "doc_id", "words", "lines", "marks", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+        .select(*also, "doc_id", "words", "lines", "marks", _windows("hashes").alias("windows"))
         .select(
+            *also,
             "doc_id",
             F.size("words").cast("long").alias("n_words"),
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -135,12 +138,23 @@ def metrics(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", st
     )
 
 
-def quality(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
-    """id, METRICS, base_failed, failed (names of the rules that a text breaks) and kept."""
+def quality(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, stop_words: Sequence[str] = tuple(STOP_WORDS), keep: Sequence[str] = ()) -> DataFrame:
+    """id, METRICS, base_failed, failed (names of the rules that a text breaks) and kept.
+
+    ``keep``: columns of the input that are returned too, in a struct ``row``."""
     base = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     broken = F.filter(F.array(*(F.when(~r.passed(), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull()) if rules else F.array().cast("array<string>")
     return (
-        metrics(df, id_col=id_col, text_col=text_col, stop_words=stop_words)
+        metrics(df, id_col=id_col, text_col=text_col, stop_words=stop_words, keep=keep)
         .withColumns({"base_failed": base, "failed": broken})
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
     )
+
+
+def passing(df: DataFrame, **options) -> DataFrame:
+    """The rows of the input that are kept, with all their columns.
+
+    The number of the row keeps the filter behind the projection: pushed into it, the filter would copy the
+    expressions of all metrics many times over."""
+    found = quality(df, keep=df.columns, **options).withColumn("at", F.monotonically_increasing_id())
+    return found.where(F.col("kept") & (F.col("at") >= 0)).select(*(F.col(f"row.`{c}`") for c in df.columns))
