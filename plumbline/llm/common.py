@@ -74,7 +74,8 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parent.parent
     target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="plumbline-")), "plumbline_llm.zip")
     with zipfile.ZipFile(target, "w") as out:
-        for path in sorted([top / "__init__.py", *(top / "llm").glob("*.py")]):
+        out.writestr(f"{top.name}/__init__.py", "")  # workers need nothing of the rest of the package
+        for path in sorted((top / "llm").glob("*.py")):
             out.write(path, f"{top.name}/{path.relative_to(top)}")
     context.addPyFile(target)
     context._plumbline_shipped = True
