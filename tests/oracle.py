@@ -1,0 +1,37 @@
+"""Compares a query's rows with those of its SQL, as sets of rows with columns by name."""
+
+import math
+import os
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else float(f"{value:.9g}")
+    return [plain(x) for x in value] if isinstance(value, list | tuple) else value
+
+
+def rows_of_sql(folder, sql):
+    con = duckdb.connect()
+    for t in TABLES:
+        path = Path(folder, f"{t}.parquet")
+        if path.exists():
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}/*.parquet'" if os.path.isdir(path) else f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
+    found = con.sql(sql)
+    return found.columns, found.fetchall()
+
+
+def same(df, folder, sql):
+    """Nothing if both are equal, else what differs."""
+    names, want = rows_of_sql(folder, sql)
+    if sorted(names) != sorted(df.columns):
+        return f"columns {sorted(df.columns)} and {sorted(names)}"
+    order = sorted(names)
+    a = Counter(tuple(plain(r[c]) for c in order).__repr__() for r in df.select(*(f"`{c}`" for c in order)).collect())
+    b = Counter(tuple(plain(r[names.index(c)]) for c in order).__repr__() for r in want)
+    return None if a == b else f"{sum(a.values())} and {sum(b.values())} rows; only here {list((a - b).items())[:3]}; only there {list((b - a).items())[:3]}"
