@@ -1,3 +1,4 @@
+from .data import catalog  # noqa: F401 - a fixture
 import pytest
 from pyspark.sql import SparkSession
 

@@ -1,0 +1,45 @@
+"""Users and posts, as small tables with nulls, a boolean, dates and naive and zoned times."""
+
+from datetime import UTC, date, datetime
+
+import pytest
+
+from plumbline import Catalog, Entity, Relation, dataframe
+
+USER = "id bigint, name string, email string, age bigint, is_active boolean, status string, created_at timestamp_ntz, birth_date date, last_login timestamp"
+POST = "id bigint, title string, content string, status string, user_id bigint, created_at timestamp_ntz"
+COMMENT = "id bigint, body string, post_id bigint"
+
+USERS = [
+    (1, "Alice", "alice@x.com", 25, True, "active", datetime(2024, 1, 15, 10, 30), date(1999, 5, 1), datetime(2024, 3, 1, 12, tzinfo=UTC)),
+    (2, "Bob", "bob@x.com", 30, True, "active", datetime(2024, 1, 20, 14, 45), None, None),
+    (3, "Charlie", "", 35, False, "inactive", datetime(2024, 2, 10, 9, 0), date(1989, 1, 31), None),
+    (4, "Diana", "diana@y.com", 28, True, "pending", datetime(2024, 2, 15, 23, 30), date(1996, 2, 29), datetime(2024, 3, 1, 23, 30, tzinfo=UTC)),
+    (5, "Eve", "eve\\n@y.com", 32, False, None, datetime(2024, 3, 1, 8, 0), None, None),
+]
+POSTS = [
+    (1, "Python Tips", "a", "published", 1, datetime(2024, 1, 16)),
+    (2, "Python Tricks", "b", "draft", 1, datetime(2024, 1, 17)),
+    (3, "Rust Intro", "c", "published", 2, datetime(2024, 1, 18)),
+    (4, "Rust Intro", "d", "draft", 3, datetime(2024, 1, 19)),
+    (5, None, "e", "archived", 4, datetime(2024, 1, 20)),
+    (6, "Rust Intro", "f", "published", 2, datetime(2024, 1, 21)),
+]
+COMMENTS = [(1, "fine", 1), (2, "good", 1), (3, "fine", 3), (4, "fine", 6)]
+
+
+def entities(users, posts, comments):
+    return (
+        Entity("user", dataframe(users), ("id",), {"posts": Relation("post", (("id", "user_id"),), many=True)}),
+        Entity("post", dataframe(posts), ("id",), {"user": Relation("user", (("user_id", "id"),), many=False), "comments": Relation("comment", (("id", "post_id"),), many=True)}),
+        Entity("comment", dataframe(comments), ("id",), {"post": Relation("post", (("post_id", "id"),), many=False)}),
+    )
+
+
+def catalog_of(spark, users=USERS, posts=POSTS, comments=COMMENTS):
+    return Catalog(spark, *entities(spark.createDataFrame(users, USER), spark.createDataFrame(posts, POST), spark.createDataFrame(comments, COMMENT)))
+
+
+@pytest.fixture(scope="session")
+def catalog(spark):
+    return catalog_of(spark)

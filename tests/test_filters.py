@@ -1,0 +1,205 @@
+"""Predicates and the filter language: against a plain evaluator, and the cases that are easily got wrong."""
+
+import fnmatch
+import re
+from datetime import date, datetime
+
+import pytest
+from hypothesis import HealthCheck, given
+from hypothesis import settings as limits
+from hypothesis import strategies as st
+
+from plumbline import FieldNotFound, FilterBuilder, QueryBuilder, predicate, settings
+from plumbline.functions.predicates import registry
+
+from .data import USERS
+
+NAMES = "id name email age is_active status created_at birth_date last_login".split()
+ROWS = [dict(zip(NAMES, u, strict=True)) for u in USERS]
+
+
+def ids(catalog, filters):
+    return [r["id"] for r in QueryBuilder(catalog, "user").build(select=["id"], filter=filters, sort=["id"]).fetch()]
+
+
+def like(text, pattern, fold=False):
+    parts = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern)
+    return re.fullmatch(parts, text, re.S | (re.I if fold else 0)) is not None
+
+
+def both(values, test, every):
+    """Three-valued AND or OR; None if there is nothing to join."""
+    found = [test(v) for v in values]
+    if not found:
+        return "nothing"
+    if (False in found) if every else (True in found):
+        return not every
+    return None if None in found else every
+
+
+def known(x, test):
+    return None if x is None else test
+
+
+def evaluate(op, x, v):
+    shapes = {"start": "{}%", "end": "%{}", "cont": "%{}%", "matches": "{}"}
+    alias = {"starts_with": "start", "ends_with": "end", "does_not_match": "not_matches", "does_not_match_any": "not_matches_any", "does_not_match_all": "not_matches_all", "gte": "gteq", "lte": "lteq"}
+    op = alias.get(op, op)
+    if m := re.fullmatch(r"(not_)?(i_)?(start|end|cont|matches)(_any|_all)?", op):
+        negate, fold, shape, many = m.groups()
+        one = lambda y: known(x, like(x or "", shapes[shape].format(y), bool(fold)) != bool(negate))
+        return both(v, one, (many == "_all") != bool(negate)) if many else one(v)
+    if m := re.fullmatch(r"(lt|lteq|gt|gteq)(_any|_all)?", op):
+        name, many = m.groups()
+        one = lambda y: known(x, x is not None and {"lt": x < y, "lteq": x <= y, "gt": x > y, "gteq": x >= y}[name])
+        return both(v, one, many == "_all") if many else one(v)
+    simple = {
+        "eq": lambda: x is None if v is None else known(x, x == v),
+        "ne": lambda: x is not None if v is None else known(x, x != v),
+        "in": lambda: False if not v else known(x, x in v),
+        "nin": lambda: True if not v else known(x, x not in v),
+        "not_eq_all": lambda: both(v, lambda y: known(x, x != y), True),
+        "is_null": lambda: x is None,
+        "is_not_null": lambda: x is not None,
+        "present": lambda: x is not None and x != "",
+        "blank": lambda: x is None or x == "",
+        "true": lambda: x is True,
+        "false": lambda: x is False,
+    }
+    return simple[op]()
+
+
+def flatten(filters):
+    """The truths of a filter's conditions for a row."""
+
+    def run(row, part):
+        out = []
+        for name, value in part.items():
+            if name in ("and", "or"):
+                inner = [t for p in value for t in run(row, p)]
+                t = both(inner, lambda y: y, name == "and")
+                out += [] if t == "nothing" else [t]
+            else:
+                for op, v in value.items() if isinstance(value, dict) else [("eq", value)]:
+                    t = evaluate(op, row[name], v)
+                    out += [] if t == "nothing" else [t]
+        return out
+
+    return [r["id"] for r in ROWS if all(t is True for t in run(r, filters))]
+
+
+texts = st.sampled_from(["a", "A", "e%", "_b", "%", "", "act", "Alice", "x.com", "\\", "\\n", "inactive"])
+numbers = st.integers(24, 36)
+TEXT_OPS = [o for o in settings.FILTER_OPERATORS if re.search("cont|start|end|match", o)]
+NUMBER_OPS = [o for o in settings.FILTER_OPERATORS if re.fullmatch(r"(gt|lt|gte|lte|gteq|lteq)(_any|_all)?", o)]
+
+
+def condition():
+    def of(op, values):
+        return st.one_of(st.lists(values, max_size=3), st.nothing()).map(lambda v: {op: v}) if op.endswith(("_any", "_all")) or op in ("in", "nin") else values.map(lambda v: {op: v})
+
+    text = st.tuples(st.sampled_from(["name", "email", "status"]), st.sampled_from([*TEXT_OPS, "eq", "ne", "in", "nin", "not_eq_all", "present", "blank", "is_null", "is_not_null"]).flatmap(lambda o: of(o, texts)))
+    number = st.tuples(st.just("age"), st.sampled_from([*NUMBER_OPS, "eq", "ne", "in", "nin", "present", "blank"]).flatmap(lambda o: of(o, numbers)))
+    flag = st.tuples(st.just("is_active"), st.sampled_from([{"true": 1}, {"false": 0}, {"eq": True}]))
+    return st.one_of(text, number, flag).map(lambda x: dict([x]))
+
+
+filters = st.recursive(condition(), lambda inner: st.tuples(st.sampled_from(["and", "or"]), st.lists(inner, max_size=3)).map(lambda x: dict([x])), max_leaves=6)
+
+
+@given(filters)
+@limits(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+def test_filters_against_plain_evaluation(catalog, tree):
+    assert ids(catalog, tree) == flatten(tree), tree
+
+
+@pytest.mark.parametrize("name", settings.FILTER_OPERATORS)
+def test_every_operator_is_there(name):
+    assert name in registry
+
+
+def test_unsupported_operators(catalog):
+    with pytest.raises(ValueError, match="Unsupported operator: near"):
+        ids(catalog, {"age": {"near": 3}})
+    with pytest.raises(ValueError, match="not null"):
+        ids(catalog, {"age": {"gt": None}})
+
+
+def test_unknown_names(catalog):
+    for path in ("nothing", "posts.nothing", "nothing.id", "posts.user.nothing"):
+        with pytest.raises(FieldNotFound):
+            ids(catalog, {path: 1})
+    assert issubclass(FieldNotFound, AttributeError)
+
+
+def test_or_takes_dictionaries_apart(catalog):
+    assert ids(catalog, {"or": [{"age": {"gte": 35, "lt": 26}}]}) == [1, 3]
+    assert ids(catalog, {"and": [{"age": {"gte": 28, "lt": 32}}]}) == [2, 4]
+
+
+def test_null_values(catalog):
+    assert ids(catalog, {"status": None}) == [5]
+    assert ids(catalog, {"status": {"ne": None}}) == [1, 2, 3, 4]
+    assert ids(catalog, {"status": {"ne": "active"}}) == [3, 4]
+    assert ids(catalog, {"status": {"is_null": False}}) == [5]
+    assert ids(catalog, {"id": {"nin": [1, None]}}) == []
+
+
+def test_wildcards_and_backslashes(catalog):
+    assert ids(catalog, {"name": {"starts_with": "_o"}}) == [2]
+    assert ids(catalog, {"email": {"cont": "\\n"}}) == [5]
+    assert ids(catalog, {"email": {"end": "\\"}}) == []
+    assert fnmatch.fnmatch("x", "x")
+
+
+@pytest.mark.parametrize(
+    ("name", "value", "want"),
+    [
+        ("created_at", {"gte": "2024-02-10T09:00:00"}, [3, 4, 5]),
+        ("created_at", {"gte": " 2024-02-10T09:00:00Z "}, [3, 4, 5]),
+        ("created_at", {"gt": "2024-02-10T11:00:00+02:00"}, [4, 5]),
+        ("created_at", {"eq": datetime(2024, 1, 15, 10, 30)}, [1]),
+        ("created_at", {"in": ["2024-01-15T10:30:00Z", "2024-03-01T08:00:00"]}, [1, 5]),
+        ("created_at", {"lt": {"$date": "2024-01-16"}}, [1]),
+        ("created_at", {"$date": "2024-01-15T10:30:00"}, [1]),
+        ("last_login", {"gt": "2024-03-01T12:00:00"}, [4]),
+        ("last_login", {"gte": "2024-03-01T14:00:00+02:00"}, [1, 4]),
+        ("birth_date", {"lt": "1996-02-29"}, [3]),
+        ("birth_date", {"eq": "1996-02-29T23:59:00Z"}, [4]),
+        ("birth_date", {"gteq_any": [date(1999, 5, 1), "2030-01-01"]}, [1]),
+        ("birth_date", {"is_null": True}, [2, 5]),
+        ("birth_date", {"present": 1}, [1, 3, 4]),
+    ],
+)
+def test_dates(catalog, name, value, want):
+    assert ids(catalog, {name: value}) == want
+
+
+def test_text_that_is_no_date_fails_when_it_runs(catalog):
+    builder = QueryBuilder(catalog, "user").build(select=["id"], filter={"created_at": {"gt": "soon"}})
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        builder.fetch()
+
+
+def test_own_predicates(catalog):
+    predicate("divisible")(lambda column, kind, value: column % value == 0)
+    with pytest.raises(ValueError, match="Unsupported"):
+        ids(catalog, {"age": {"divisible": 5}})
+    settings.FILTER_OPERATORS.append("divisible")
+    try:
+        assert ids(catalog, {"age": {"divisible": 5}}) == [1, 2, 3]
+    finally:
+        settings.FILTER_OPERATORS.remove("divisible")
+        del registry["divisible"]
+
+
+def test_own_resolver(catalog):
+    from plumbline.operators.filters import CatalogResolver
+
+    class Short(CatalogResolver):
+        def resolve(self, entity, path):
+            return super().resolve(entity, {"n": "name"}.get(path, path))
+
+    found = QueryBuilder(catalog, "user", resolver=Short(catalog)).build(select=["id"], filter={"n": "Bob"}).fetch()
+    assert found == [{"id": 2}]
+    assert FilterBuilder(catalog, "user").build({}) == FilterBuilder(catalog, "user").build(None) == []
