@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,6 +90,11 @@ def running_base(sums: DataFrame, key: str, n: str) -> DataFrame:
     return blocks.withColumn("within", F.coalesce(F.sum(n).over(inner), F.lit(0))).join(ahead, "block").select(key, (F.col("start") + F.col("within")).alias("base"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once for each row, also if body's lambdas use it often."""
+    return F.transform(F.array(value), body)[0]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -31,15 +31,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, SPACE_CLASS, Scratch
+from .common import SPACE, SPACE_CLASS, Scratch, let
 
 MIN_WORDS = 20
 ADDED = ("n_lines", "n_deleted", "runs")
 
 
 def _n_words(line: Column) -> Column:
-    inner = F.btrim(line, F.lit(SPACE))
-    return F.when(F.length(inner) > 0, F.size(F.split(inner, SPACE_CLASS + "+"))).otherwise(0)
+    """Words of a line. Where single spaces stand between them, which is cheap to see, spaces are counted."""
+
+    def count(inner: Column) -> Column:
+        odd = F.contains(inner, F.lit("  "))
+        for blank in SPACE.strip(" \n"):
+            odd = odd | F.contains(inner, F.lit(blank))
+        spaces = F.octet_length(inner) - F.octet_length(F.replace(inner, F.lit(" "), F.lit("")))
+        return F.when(F.octet_length(inner) == 0, 0).when(odd, F.size(F.split(inner, SPACE_CLASS + "+"))).otherwise(spaces + 1)
+
+    return let(F.btrim(line, F.lit(SPACE)), count)
 
 
 def _before(groups: DataFrame, keys: list[str], order: list[str], number: str, shifts: tuple[int, ...]) -> DataFrame:

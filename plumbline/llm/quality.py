@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS
+from .common import SPACE, SPACE_CLASS, let
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -71,11 +71,6 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(inner) > 0, F.split(inner, SPACE_CLASS + "+")).otherwise(F.array().cast("array<string>"))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with value computed once for each row, also if body's lambdas use it often."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _windows(hashes: str) -> Column:
     """A hash for each window of five consecutive words, from the hashes of the words."""
     at = lambda i: F.xxhash64(*(F.get(F.col(hashes), i + k) for k in range(5)))

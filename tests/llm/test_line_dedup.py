@@ -87,3 +87,11 @@ def test_edges(spark, empty):
     assert dedup(df).collect()[0].n_lines == 1
     with pytest.raises(ValueError, match="runs"):
         dedup(spark.createDataFrame([(1, "x", 2)], "doc_id bigint, text string, Runs int"))
+
+
+def test_words_of_lines(spark):
+    r = random.Random(6)
+    lines = ["", " ", "a", " a ", "a  b", "a\tb", "\r", "x\r", "a\x0bb c", "é ñ", *("".join(r.choices("ab  \t\r\x0c", k=9)) for _ in range(60))]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = df.select("line", line_dedup._n_words(df["line"]).alias("n")).collect()
+    assert {x.line: x.n for x in got} == {x: n_words(x) for x in lines}
