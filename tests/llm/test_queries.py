@@ -1,0 +1,88 @@
+"""The registered queries: names, SQL against DuckDB, and the pipeline's stages against brute force."""
+
+import os
+import re
+from collections import Counter
+
+import pytest
+
+from plumbline.llm.queries import ORACLE_SQL, QUERIES
+from tests.oracle import same
+
+from .test_decontaminate import brute as contaminated
+from .test_line_dedup import brute as without_copies
+from .test_minhash import brute as components
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_names():
+    assert [re.match(r"op(\d+)_\w+$", n)[1] for n in QUERIES] == [str(k) for k in range(1, 11)]
+    assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_same_as_sql(spark, name):
+    assert same(QUERIES[name](spark, FOLDER), FOLDER, ORACLE_SQL[name]) is None
+
+
+@pytest.fixture(scope="module")
+def folder(spark, rows, docs, tmp_path_factory):
+    """A folder with documents and a benchmark that one of them has in it."""
+    top = f"file://{tmp_path_factory.mktemp('tables')}"
+    docs.write.parquet(f"{top}/documents.parquet")
+    item = " ".join(rows[150][1].split()[40:60])
+    spark.createDataFrame([(1, item), (2, "nothing of this kind is in any of the documents at all here")], "item_id bigint, text string").write.parquet(f"{top}/benchmark.parquet")
+    return top
+
+
+def test_pipeline_stages(spark, folder, rows):
+    import corpus_pipeline as c
+
+    from .test_quality import brute as metrics
+
+    docs, columns = spark.read.parquet(f"{folder}/documents.parquet"), list(c.COLUMNS)
+    assert [n for n, _ in c.STAGES] == ["quality rules", "line dedup", "MinHash near-dedup", "benchmark decontamination", "SentencePiece encoding"]
+    read = lambda df: sorted(map(tuple, df.collect()), key=str)
+    again = lambda some: spark.createDataFrame(some, docs.schema)
+
+    kept = c.quality_rules(spark, docs, folder)
+    assert kept.columns == columns
+    after = read(kept)
+    m = {r[0]: metrics(r[1]) for r in rows}
+    assert {r[0] for r in after} <= {k for k, x in m.items() if x["n_words"] >= 10 and 100 * x["n_repeat_words"] <= 20 * x["n_words"]}
+    assert len(after) > 50
+
+    lines = c.drop_repeated_lines(spark, again(after), folder)
+    assert lines.columns == columns
+    texts, gone = without_copies(after, 20)
+    want = [(after[k][0], t, *after[k][2:4], len(t) if gone[k] else after[k][4]) for k, t in texts.items() if not gone[k] or t.split()]
+    got = read(lines)
+    assert got == sorted(want, key=str) and sum(gone.values()) and len(got) < len(after)
+
+    near = c.near_duplicates(spark, again(got), folder)
+    assert near.columns == columns
+    names = {d: comp for d, _, comp in components([r[:2] for r in got], 80)}
+    want = [r for r in got if r[0] == names[r[0]]]
+    assert read(near) == want and len(want) < len(got)
+
+    clean = c.decontamination(spark, again(want), folder)
+    assert clean.columns == columns
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    bad = {k for (k, _, hit, _), _ in contaminated(want, items).items() if hit}
+    left = read(clean)
+    assert left == [r for r in want if r[0] not in bad] and bad == {150}
+
+    ids = c.token_ids(spark, again(left), folder).collect()
+    assert Counter(r.doc_id for r in ids) == Counter(r[0] for r in left) and all(r.round_trip for r in ids)
+    whole = c.run(spark, folder)
+    assert sorted((str(r.doc_id), r.token_ids) for r in whole.collect()) == sorted((str(r.doc_id), r.token_ids) for r in ids)
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    import corpus_pipeline as c
+
+    empty.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert c.run(spark, f"file://{tmp_path}").collect() == []
