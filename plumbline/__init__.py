@@ -1,10 +1,12 @@
 """Declarative queries over related tables, planned as Spark DataFrames."""
 
+import logging
+
 from .builder import QueryBuilder
 from .errors import FieldNotFound
 from .functions.predicates import predicate
 from .operators.filters import FilterBuilder
-from .operators.grouping import GroupByConfig, GroupedResponse, GroupResult
+from .operators.grouping import DateGranularity, GroupByConfig, GroupedResponse, GroupResult
 from .operators.nesting import Record
 from .operators.paging import PaginationInfo
 from .settings import Settings, settings
@@ -12,6 +14,8 @@ from .sources.catalog import Catalog, Entity, Relation, dataframe, jdbc, parquet
 from .spec import FieldSelection, JoinType, PaginatedResponse, QuerySpec
 
 __all__ = [
-    "Catalog", "Entity", "FieldNotFound", "FieldSelection", "FilterBuilder", "GroupByConfig", "GroupResult", "GroupedResponse", "JoinType", "PaginatedResponse", "PaginationInfo",
+    "Catalog", "DateGranularity", "Entity", "FieldNotFound", "FieldSelection", "FilterBuilder", "GroupByConfig", "GroupResult", "GroupedResponse", "JoinType", "PaginatedResponse", "PaginationInfo",
     "QueryBuilder", "QuerySpec", "Record", "Relation", "Settings", "dataframe", "jdbc", "parquet", "predicate", "settings",
 ]
+
+logging.getLogger(__name__).setLevel(settings.LOG_LEVEL)

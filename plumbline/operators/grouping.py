@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from enum import StrEnum
 from typing import Any
 
 from pydantic import BaseModel, field_validator, model_validator
@@ -14,24 +15,32 @@ from .filters import qualified
 from .paging import PaginationInfo
 
 
+class DateGranularity(StrEnum):
+    YEAR = "year"
+    MONTH = "month"
+    DAY = "day"
+    HOUR = "hour"
+    MINUTE = "minute"
+
+
 class GroupByConfig(BaseModel):
     """A field to group by, with a granularity for dates and an offset in hours or a zone."""
 
     field: str
-    granularity: str | None = None
+    granularity: DateGranularity | None = None
     tz_offset: float | None = None
     timezone: str | None = None
 
     @field_validator("granularity", mode="before")
     @classmethod
-    def _known_granularity(cls, value: Any) -> str | None:
+    def _known_granularity(cls, value: Any) -> DateGranularity | None:
         if value is None:
             return None
         if not isinstance(value, str):
             raise ValueError(f"Invalid granularity type: {type(value)}")
         if value.lower() not in settings.SUPPORTED_DATE_GRANULARITIES:
             raise ValueError(f"Unsupported granularity: {value}. Supported: {settings.SUPPORTED_DATE_GRANULARITIES}")
-        return value.lower()
+        return DateGranularity(value.lower())
 
     @model_validator(mode="after")
     def _one_zone(self) -> GroupByConfig:

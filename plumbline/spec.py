@@ -67,6 +67,8 @@ class QuerySpec(BaseModel):
         """From a web framework's request: anything with query_params."""
         return cls.from_qs(request.query_params)
 
+    fastapi_dependency = from_request
+
     def to_qs(self) -> str:
         return urlencode({settings.QUERY_PARAM_NAME: self.model_dump_json(by_alias=True)})
 
@@ -92,8 +94,8 @@ class QuerySpec(BaseModel):
         builder = self.builder(catalog, entity)
         return PaginatedResponse(items=plain(builder.fetch()), pagination=self.pagination(builder.count()))
 
-    def run_grouped(self, catalog: Catalog, entity: str | Entity) -> dict[str, Any]:
-        """The first objects of each group, groups by key, MAX_LIMIT objects at most in all.
+    def run_grouped(self, catalog: Catalog, entity: str | Entity, dialect: str | None = None) -> dict[str, Any]:
+        """The first objects of each group, groups by key, MAX_LIMIT objects at most in all. A database's dialect makes no difference.
 
         Two jobs for each MAX_LIMIT keys, one for the keys and one for their rows; seldom are more than the first needed."""
         if self.group_by is None:
@@ -134,5 +136,5 @@ class QuerySpec(BaseModel):
     async def run_async_paginated(self, catalog: Catalog, entity: str | Entity) -> PaginatedResponse:
         return await asyncio.to_thread(self.run_paginated, catalog, entity)
 
-    async def run_grouped_async(self, catalog: Catalog, entity: str | Entity) -> dict[str, Any]:
-        return await asyncio.to_thread(self.run_grouped, catalog, entity)
+    async def run_grouped_async(self, catalog: Catalog, entity: str | Entity, dialect: str | None = None) -> dict[str, Any]:
+        return await asyncio.to_thread(self.run_grouped, catalog, entity, dialect)
