@@ -34,22 +34,12 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 INDEX = {c: k for k, c in enumerate(ALPHABET)}
 #: Parts of ordinary names in code and text.
 PARTS = (
-    "account action active add address admin agent alert alpha amount api app apply archive area argument array article asset async attach audit auth auto average avatar back background badge balance bank base batch "
-    "begin beta bill binary bind bit block board body book boolean border bottom box branch bridge buffer build bundle button byte cache calendar call cancel card carrier cart case catalog category center chain change "
-    "channel char chart check child city class clean clear click client clock close cloud cluster code collection color column command comment commit common company compare complete component compute condition config "
-    "connect console content context control convert copy core count country create credit current customer cycle data database date day debug default delete delta deploy description design detail device dialog digest "
-    "direct disk dispatch display document domain download draft drive driver edge edit element email empty enable encode end engine entity entry environment equal error event example exception execute expire export "
-    "factory fetch field file filter final find first flag flow folder font footer form format forward frame free function gamma gateway general get global graph grid group handler hash head header height help hidden "
-    "history home host hour icon image import index info init input insert install instance integer interface internal interval invoice item iterator job join keyboard label language last layer layout leaf left length "
-    "level library license light limit line link list load local location lock logger login loop machine main manager map market mask master match matrix maximum media member memory menu merge message meta method "
-    "metric middle minimum minute mobile mode model module monitor month mount mouse move multi name native network next node note number object offset open operation option order origin output owner package page panel "
-    "parameter parent parse partition patch path pattern payment peer phone picture pixel plan platform player plugin point policy pool port position post power prefix price print private process product profile "
-    "project property protocol provider proxy public publish query queue random range rate read record recover region register release remote render repeat reply report request reset resource response result retry "
-    "return review right role root route router row rule sample scale schedule schema scope score screen script search second section segment select send sequence serial server service session setting shape share shard "
-    "shift signal simple single size skip slot socket sort source space split stack stage standard start state static status step storage store stream string structure style submit subscribe suffix summary support "
-    "switch symbol sync system table target task team template terminal test text thread threshold ticket time title toggle tool total trace track traffic transaction transfer transform tree trigger type unit update "
-    "upload user utility valid value variable vector version video view virtual visible volume wait warning watch week weight widget width window word worker wrapper write year zone und der die das nicht mit auf eine "
-    "les des pour dans avec sur que los las para con por una"
+    "account add agent amount apply argument asset audit auf average background bank begin binary block book bottom bridge bundle cache cancel cart category change chart city clear clock cluster color "
+    "comment company component config content convert count credit cycle das date default deploy der detail die digest dispatch domain drive edit eine empty end entry error exception export field final "
+    "flag font format free gateway global group head help home icon index input instance internal item join language layout length license line load lock loop manager mask matrix member merge method "
+    "minimum mit mode monitor mouse name next nicht number open order owner panel parse path peer pixel player policy position prefix private profile protocol public queue rate recover release repeat "
+    "request response return role router sample schema screen second select serial session share signal size socket space stage state step stream style suffix switch system task terminal thread time tool "
+    "track transfer trigger und update utility variable video visible warning weight window wrapper zone und der die das nicht mit auf eine les des pour dans avec sur que los las para con por una"
 ).split()
 
 
@@ -126,7 +116,7 @@ def scan(df: DataFrame, *, samples: Iterable[tuple[str, bool]] | None = None, ma
 
     def make():
         def work(_, texts):
-            yield [[{"kind": KINDS[k], "start": a, "end": b, "score": None if score == math.inf else score} for a, k, b, score in find(text or "", models)] for text in texts]
+            return ([[{"kind": KINDS[k], "start": a, "end": b, "score": None if score == math.inf else score} for a, k, b, score in find(text or "", models)] for text in texts],)
 
         return work
 
