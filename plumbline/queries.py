@@ -38,8 +38,6 @@ def spec(name: str, entity: str, sql: str, raw: dict[str, Any]) -> None:
 
 # -- predicates: name -> (entity, column, value, SQL condition)
 
-ORDERS = ("orders", "o_orderkey")
-_MAX = "(SELECT max(o_totalprice) FROM orders)"
 PREDICATES: dict[str, tuple[str, str, Any, str]] = {
     "eq": ("orders", "o_orderstatus", "F", "o_orderstatus = 'F'"),
     "ne": ("orders", "o_orderstatus", "F", "o_orderstatus <> 'F'"),
@@ -171,6 +169,14 @@ flat(
     "SELECT n_name, c_custkey AS customers_c_custkey, o_orderkey AS customers_orders_o_orderkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey",
     select=["n_name", {"customers": ["c_custkey", {"orders": ["o_orderkey"]}]}],
 )
+flat(
+    "join_same_entity_twice",
+    "lineitem",
+    """SELECT l_orderkey, a.n_name AS order_customer_nation_n_name, b.n_name AS supplier_nation_n_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+      JOIN nation a ON a.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE l_quantity < 3""",
+    select=["l_orderkey", {"order": [{"customer": [{"nation": ["n_name"]}]}]}, {"supplier": [{"nation": ["n_name"]}]}],
+    filter={"l_quantity": {"lt": 3}},
+)
 flat(
     "join_left_filter_root",
     "customer",
