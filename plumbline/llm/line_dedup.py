@@ -117,8 +117,8 @@ def _ranks(lines: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
     return ranks
 
 
-def _later(ranks: DataFrame, levels: int) -> DataFrame:
-    """key, runs: sorted (line, last, first_doc, first_line) of the runs that an earlier run equals."""
+def _later(ranks: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
+    """key, spans: sorted (line, last, first_doc, first_line) of the runs that an earlier run equals."""
 
     def named(x: Column) -> Column:
         cases: list[Column] = []
@@ -134,6 +134,8 @@ def _later(ranks: DataFrame, levels: int) -> DataFrame:
     runs = ranks.select("key", "doc_id", F.inline(F.filter(F.transform("wanted", named), lambda x: x["live"]))).drop("live")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("key").alias("key"), F.col("line").alias("line"))
     firsts = runs.groupBy("w", "p", "q").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written first, so that both sides of the join are plain exchanges, of which Spark can split a hot key.
+    firsts = scratch.cut(firsts, "firsts")
     later = runs.join(firsts, ["w", "p", "q"]).where(place > F.col("first"))
     return later.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("line", "last", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line")))).alias("spans"))
 
@@ -169,7 +171,7 @@ def dedup(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     )
     # The filter stands behind the cut: before it, it would be pushed down and the lines be split twice.
     ranks = _ranks(scratch.cut(lines, "lines").where(F.size("nb") > 0), scratch, levels)
-    runs = _later(ranks, levels).select(F.col("key").alias("_key"), _merged(F.col("spans")).alias("runs"))
+    runs = _later(ranks, scratch, levels).select(F.col("key").alias("_key"), _merged(F.col("spans")).alias("runs"))
     whole = docs.join(runs, "_key", "left")
     gone = lambda i: F.exists("runs", lambda r: (i >= r["line"]) & (i <= r["last"]))
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~gone(i)), "\n")
