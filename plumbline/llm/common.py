@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +38,13 @@ class Scratch:
     """Tables written to the shared folder, to cut a plan's lineage.
 
     A written table outlives any executor; a later read never recomputes what made it.
-    Tables go when ``drop`` is called or the driver ends."""
+    Tables go when ``drop`` is called, at the end of an ``only_for`` around, or when the driver ends."""
+
+    live: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        Scratch.live.append(self)
         atexit.register(self.clear)
 
     def path(self, name: str) -> str:
@@ -55,6 +60,9 @@ class Scratch:
             self._delete(self.path(name))
 
     def clear(self) -> None:
+        atexit.unregister(self.clear)
+        if self in Scratch.live:
+            Scratch.live.remove(self)
         try:
             self._delete(self.root)
         except Exception:  # noqa: BLE001 - the session may be gone when the driver ends
@@ -66,6 +74,15 @@ class Scratch:
         where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+@contextmanager
+def only_for() -> Iterator[None]:
+    """Scratch tables that are made inside go at the end: for results that are written before it."""
+    before = list(Scratch.live)
+    yield
+    for made in [s for s in Scratch.live if s not in before]:
+        made.clear()
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once for each application."""
     context = spark.sparkContext

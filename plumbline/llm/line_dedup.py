@@ -101,6 +101,7 @@ def _ranks(lines: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
     ids = lines.drop("ids").join(first, "key")
     pick = lambda name: F.transform(F.sequence(F.lit(0), F.size("nb") - 1), lambda i: F.col("new")[i][name])
     ranks = scratch.cut(ids.withColumns({"r0": pick("rank"), "l0": pick("live")}).drop("new"), "ranks0")
+    scratch.drop("lines")
     for k in range(levels):
         r, live, step = f"r{k}", f"l{k}", 1 << k
         pairs = F.transform(F.arrays_zip(F.col(r).alias("r"), F.col(live).alias("live")), lambda x, i: F.struct(i.alias("i"), x["r"].alias("r"), F.coalesce(F.get(F.col(r), i + step), F.lit(-1)).alias("s"), x["live"].alias("live")))
@@ -114,6 +115,7 @@ def _ranks(lines: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
         }
         renew = ranks.join(renewed(found), "key", "left")
         ranks = scratch.cut(renew.withColumns(more).drop("new"), f"ranks{k + 1}")
+        scratch.drop(f"ranks{k}")
     return ranks
 
 

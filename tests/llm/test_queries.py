@@ -86,3 +86,15 @@ def test_pipeline_of_nothing(spark, empty, tmp_path):
     empty.write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert c.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_scratch_tables_go(spark, folder):
+    import corpus_pipeline as c
+    from plumbline.llm.common import Scratch
+
+    before = list(Scratch.live)
+    got = c.run(spark, folder)
+    own = [s for s in Scratch.live if s not in before]
+    assert len(own) == 1 and got.count() > 0  # only that of the result is left
+    own[0].clear()
+    assert Scratch.live == before
