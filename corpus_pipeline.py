@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, line_dedup, minhash, pieces
-from plumbline.llm.common import SPACE, Scratch, documents
+from plumbline.llm.common import SPACE, Scratch, documents, only_for
 from plumbline.llm.quality import passing
 from plumbline.llm.queries import tokenizer
 
@@ -59,7 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = documents(spark, sf_dir), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.cut(stage(spark, docs, sf_dir), f"stage{k}")
+        with only_for():
+            docs = scratch.cut(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             scratch.drop(f"stage{k - 1}")
     return docs
