@@ -15,7 +15,8 @@
 
 A band has as many rows as leave two sets at the threshold without a common bucket with a probability of
 1e-6 at most: at 0.85, 42 bands of 6 rows leave 2e-9. No list of the
-members of a bucket or component is ever collected; links and components stay distributed.
+members of a bucket or component is ever collected; links and components stay distributed. What a large side is
+joined with is written first where it is an aggregate of that side: then both are plain exchanges, of which Spark can split a hot key.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is its own component; a text with
 fewer words than a shingle has one shingle, all of them; a null id counts in no minimum: its component is
@@ -115,14 +116,14 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     state, k = None, 0
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
+        large = scratch.cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
+        small = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
         joined = large.join(small, "u")
         edges = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         k += 1
         edges = scratch.cut(edges, f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-{k - 1}")  # the other tables are written over
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
         if now == state or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -149,7 +150,7 @@ class NearDuplicates:
         members = self.nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
         centre = F.min(F.struct(F.xxhash64("node", "band"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("centre")
         shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), centre).where("m > 1").select("band", "key", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n"))
-        return self.scratch.cut(members.join(shared, ["band", "key"]), "buckets")
+        return self.scratch.cut(members.join(self.scratch.cut(shared, "shared"), ["band", "key"]), "buckets")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """node and set (array of hashes) of the wanted nodes, whose texts are read again."""
@@ -171,23 +172,23 @@ class NearDuplicates:
         """Rows of buckets that hold several components, with comp."""
         rows = buckets.join(comps, "node", "left").select("band", "key", "node", "n", F.coalesce("comp", "node").alias("comp"))
         several = rows.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-        return rows.join(several, ["band", "key"], "left_semi")
+        return rows.join(self.scratch.cut(several, "several"), ["band", "key"], "left_semi")
 
-    def viable(self, live: DataFrame, sets: DataFrame) -> DataFrame:
+    def viable(self, live: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """node, comp, n, counts (shingles that another component has, by group) of nodes that may have a link to another component."""
         at = live.join(sets, "node").select("node", "comp", "n", F.explode("set").alias("h"))
         shared = at.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
         group = F.pmod(F.col("h"), F.lit(GROUPS))
         counts = F.array(*(F.count(F.when(group == k, F.lit(1))).cast("int") for k in range(GROUPS))).alias("counts")
-        found = at.join(shared, "h").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("avail"), counts)
-        return found.where(100 * F.col("avail") >= self.percent * F.col("n"))
+        found = at.join(self.scratch.cut(shared, f"{name}-shared"), "h").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("avail"), counts)
+        return self.scratch.cut(found.where(100 * F.col("avail") >= self.percent * F.col("n")), name)
 
     def across(self, buckets: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
         """Candidate pairs of different components that share a bucket."""
         rows = self.unresolved(buckets, comps)
         live = self.scratch.cut(rows.select("node", "comp", "n").distinct(), "live")
         for k in range(2):
-            live = self.scratch.cut(self.viable(live, sets), f"viable{k}")
+            live = self.viable(live, sets, f"viable{k}")
         info = live.join(self.nodes.select("node", "keys"), "node")
         left = buckets.select("band", "key", "node").join(info.drop("n", "avail").join(live.select("node", "n", "avail"), "node"), "node")
         rows = self.scratch.cut(left, "rows")
