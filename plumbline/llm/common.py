@@ -98,6 +98,20 @@ def ship(spark: SparkSession) -> None:
     context._plumbline_shipped = True
 
 
+def set_aside(df: DataFrame, added: tuple[str, ...]) -> DataFrame:
+    """df with its columns that have the name of an added one renamed: _input is put behind the name."""
+    taken = {c.lower() for c in (*df.columns, *added)}
+    names = []
+    for c in df.columns:
+        name = c
+        if c.lower() in {a.lower() for a in added}:
+            while name.lower() in taken:
+                name += "_input"
+            taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names) if names != df.columns else df
+
+
 def running_base(sums: DataFrame, key: str, n: str) -> DataFrame:
     """key (numbers, each once) and base: the sum of n over smaller keys; first within blocks of 1024 keys, then over blocks."""
     blocks = sums.select(key, n, F.floor(F.col(key) / 1024).alias("block"))

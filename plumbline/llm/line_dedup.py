@@ -20,9 +20,9 @@ lines after it is no single task's work; groups are aggregated before they are s
 
 Defined results: a null or empty text has no lines and stays as it is; lines without a word are deleted
 only inside a run; a null doc_id counts as greater than all others; of repeated rows one is the
-first; an empty table gives an empty result; all columns of the input are carried, and names that
-clash with the added ones are refused with a ValueError. A document's lines are held by one
-task, as its text is.
+first; an empty table gives an empty result; all columns of the input are carried, those named like
+an added one with ``_input`` behind their name. A document's lines are held by one task, as its
+text is.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, SPACE_CLASS, Scratch, let
+from .common import SPACE, SPACE_CLASS, Scratch, let, set_aside
 
 MIN_WORDS = 20
 ADDED = ("n_lines", "n_deleted", "runs")
@@ -158,8 +158,7 @@ def dedup(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     """The input with texts without later copies, and n_lines, n_deleted (long) and runs: array of
     (line, last, first_doc, first_line), the deleted runs and where the run they begin with stays.
     Lines count from 0."""
-    if clash := {*ADDED, "_key"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns of the input clash with those added: {sorted(clash)}")
+    df = set_aside(df, (*ADDED, "_key"))
     if min_words < 1:
         raise ValueError("min_words is 1 at least")
     scratch, levels = Scratch(df.sparkSession, "line-dedup"), min_words.bit_length() - 1

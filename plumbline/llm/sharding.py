@@ -12,7 +12,7 @@ function of the seed, the rows and how the input is partitioned.
 
 Defined results: a null text has no bytes and no checksum; a null id is a value like others;
 repeated rows are dealt out one by one; an empty table gives an empty result; all columns of the
-input are carried, and names that clash with the added ones are refused with a ValueError.
+input are carried, those named like an added one with ``_input`` behind their name.
 Buckets hold whole rows, however long: their number follows the bytes of the input.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, Scratch, running_base
+from .common import BROADCAST_KEYS, Scratch, running_base, set_aside
 
 #: Bytes of texts in a bucket.
 BUCKET_BYTES = 4 << 20
@@ -33,8 +33,7 @@ def text_size(text: Column) -> Column:
 
 def shuffled(df: DataFrame, n_shards: int, *, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The input's columns with shard (int) and slot (long): gapless from 0 in each shard, in random order."""
-    if clash := {"shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns of the input clash with those added: {sorted(clash)}")
+    df = set_aside(df, ("shard", "slot"))
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "sharding")
     size = df.agg(F.coalesce(F.sum(text_size(F.col(text_col)) + 64), F.lit(0))).first()[0]
     n_buckets = max(size // bucket_bytes + 1, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -51,7 +50,7 @@ def shuffled(df: DataFrame, n_shards: int, *, seed: int = 42, id_col: str = "doc
     ahead = more * (least + 1)
     place = F.col("place")
     early = place < ahead
-    shard = F.when(early, F.floor(place / (least + 1))).otherwise(more + F.floor((place - ahead) / max(1, least)))
+    shard = F.when(early, F.expr(f"place div {least + 1}")).otherwise(more + F.expr(f"(place - {ahead}) div {max(1, least)}"))
     start = F.when(early, F.col("shard") * (least + 1)).otherwise(ahead + (F.col("shard") - more) * least)
     return rows.withColumn("shard", shard.cast("int")).select(
         *(F.col(f"row.c{k}").alias(c) for k, c in enumerate(df.columns)), "shard", (F.col("place") - start).cast("long").alias("slot")

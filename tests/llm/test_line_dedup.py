@@ -85,8 +85,11 @@ def test_edges(spark, empty):
     df = spark.createDataFrame([(1, "x", 2, 3)], "doc_id bigint, text string, key int, `a b` int")
     assert dedup(df).columns == ["doc_id", "text", "key", "a b", "n_lines", "n_deleted", "runs"]
     assert dedup(df).collect()[0].n_lines == 1
-    with pytest.raises(ValueError, match="runs"):
-        dedup(spark.createDataFrame([(1, "x", 2)], "doc_id bigint, text string, Runs int"))
+    clash = dedup(spark.createDataFrame([(1, "x", 2, 3)], "doc_id bigint, text string, Runs int, _key int"))
+    assert clash.columns == ["doc_id", "text", "Runs_input", "_key_input", "n_lines", "n_deleted", "runs"]
+    assert tuple(clash.first())[:4] == (1, "x", 2, 3)
+    with pytest.raises(ValueError, match="min_words"):
+        dedup(df, min_words=0)
 
 
 def test_words_of_lines(spark):

@@ -80,6 +80,18 @@ def test_pipeline_stages(spark, folder, rows):
     assert sorted((str(r.doc_id), r.token_ids) for r in whole.collect()) == sorted((str(r.doc_id), r.token_ids) for r in ids)
 
 
+def test_stages_take_other_columns(spark, folder, rows):
+    """Columns with any name beside those of documents change nothing."""
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.selectExpr("*", "1 AS kept", "2 AS _kept", "3 AS runs", "4 AS node", "5 AS token_ids", "6 AS _key", "7 AS item")
+    for _, stage in c.STAGES:
+        plain, other = stage(spark, docs, folder), stage(spark, more, folder)
+        assert plain.columns == other.columns
+        assert sorted(map(str, plain.collect())) == sorted(map(str, other.collect()))
+
+
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     import corpus_pipeline as c
 

@@ -1,7 +1,5 @@
 from collections import Counter, defaultdict
 
-import pytest
-
 from plumbline.llm import sharding
 
 
@@ -38,9 +36,10 @@ def test_more_shards_than_rows_and_no_rows(spark, empty):
 
 
 def test_clashing_names(spark):
-    df = spark.createDataFrame([(1, "x", 2)], "doc_id bigint, text string, Slot int")
-    with pytest.raises(ValueError, match="slot"):
-        sharding.shuffled(df, 2)
+    df = spark.createDataFrame([(1, "x", 2, 3)], "doc_id bigint, text string, Slot int, slot_input int")
+    got = sharding.shuffled(df, 2)
+    assert got.columns == ["doc_id", "text", "Slot_input_input", "slot_input", "shard", "slot"]
+    assert [tuple(r) for r in got.collect()] == [(1, "x", 2, 3, 0, 0)]
     other = spark.createDataFrame([(1, "x", 2, 3)], "doc_id bigint, text string, bucket int, row int")
     assert [tuple(r) for r in sharding.shuffled(other, 1).collect()] == [(1, "x", 2, 3, 0, 0)]
 
