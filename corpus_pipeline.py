@@ -1,7 +1,8 @@
 """The corpus pipeline: STAGES in order, each one's result written to the shared folder and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return
-the columns of documents; the last returns the token ids."""
+the columns of documents; the last returns the token ids. Other columns of a stage's input are left out.
+What a stage makes of nulls, empty texts and repeated rows is in its operator's docstring."""
 
 from __future__ import annotations
 
@@ -31,8 +32,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    docs = docs.select(*COLUMNS)
     kept = minhash.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
