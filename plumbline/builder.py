@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import asyncio
 import logging
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 from pyspark.sql.window import Window
 
 from .operators.filters import Resolver
@@ -20,6 +22,11 @@ from .sources.catalog import Catalog, Entity
 logger = logging.getLogger("plumbline")
 
 
+def _literal(df: DataFrame, key: Column, value: Any) -> Column:
+    """A collected key as a literal; times without a zone stay so."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz") if isinstance(value, datetime) and isinstance(df.select(key).schema[0].dataType, TimestampNTZType) else F.lit(value)
+
+
 class QueryBuilder:
     """Queries of one entity of a catalog."""
 
@@ -154,7 +161,7 @@ class QueryBuilder:
         Rows that rank too low are dropped before the shuffle, so a large group is no task's burden."""
         plan, df, key = self._flat_with_key(config)
         if keys is not None:
-            known = [k for k in keys if k is not None]
+            known = [_literal(df, key, k) for k in keys if k is not None]
             test = key.isin(*known) if known else F.lit(False)
             df = df.where(test | key.isNull() if None in keys else test)
         window = Window.partitionBy("_key").orderBy(*plan.order())
@@ -173,7 +180,8 @@ class QueryBuilder:
 
     def count_for_group(self, config: GroupByConfig, key: Any) -> int:
         plan, column, steps = self._keyed(config)
-        return plan.matching(steps).where(column.eqNullSafe(F.lit(key))).agg(plan.distinct_roots(steps)).first()[0]
+        df = plan.matching(steps)
+        return df.where(column.eqNullSafe(_literal(df, column, key))).agg(plan.distinct_roots(steps)).first()[0]
 
     # -- the same, awaited
 

@@ -194,6 +194,23 @@ def test_zoned_times_and_dates_as_keys(catalog):
     assert [(k, x) for k, x, _ in got] == [(None, [2, 5]), ("1989", [3]), ("1996", [4]), ("1999", [1])]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_whole_times_as_keys(spark, catalog, zone):
+    """Times without a zone are the same keys in any session's zone."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got, _ = grouped(catalog, select=["id"], group_by="created_at")
+        assert [x for _, x, _ in got] == [[1], [2], [3], [4], [5]] and got[0][0] == "2024-01-15 10:30:00"
+        got, _ = grouped(catalog, select=["id"], group_by={"field": "created_at", "granularity": "hour", "tz_offset": -3}, limit=1)
+        assert got[0][0] == "2024-01-15T07"
+        b = QueryBuilder(catalog, "user").build(select=["id"])
+        config = GroupByConfig(field="created_at")
+        assert b.fetch_for_group(config, datetime(2024, 1, 20, 14, 45)) == [{"id": 2}] and b.count_for_group(config, datetime(2024, 1, 20, 14, 45)) == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_group_by_relation(catalog):
     assert grouped(catalog, "post", select=["id"], group_by="user.name", sort=["id"])[0] == [("Alice", [1, 2], 2), ("Bob", [3, 6], 2), ("Charlie", [4], 1), ("Diana", [5], 1)]
     assert grouped(catalog, select=["id"], group_by="posts.status", sort=["id"])[0] == [("archived", [4], 1), ("draft", [1, 3], 2), ("published", [1, 2], 2)]
