@@ -130,8 +130,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows that are worked on at a time; a batch of Spark's has ten times as many, or 64 MB.
+AT_A_TIME = 1000
+
+
 def map_texts(df: DataFrame, make, schema: str, *, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Run ``make()(ids, texts, *extra) -> arrays`` over Arrow batches of id and text.
+    """Run ``make()(ids, texts, *extra) -> arrays`` over parts of Arrow batches of id and text.
 
     ``make`` is called once for each task and returns the function for batches; what that returns
     are the columns after the id. ``schema`` is theirs; the id keeps its type. Only these columns are
@@ -147,8 +151,8 @@ def map_texts(df: DataFrame, make, schema: str, *, id_col: str = "doc_id", text_
 
     def run(batches):
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(k, AT_A_TIME) for k in range(0, whole.num_rows, AT_A_TIME)):
                 columns = work(batch.column(0), *(batch.column(k).to_pylist() for k in range(1, batch.num_columns)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(fields.field(0).type), *(c if isinstance(c, pa.Array) else pa.array(c, type=fields.field(k + 1).type) for k, c in enumerate(columns))], schema=fields)
 
