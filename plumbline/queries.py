@@ -143,6 +143,7 @@ _filter("date_column", {"o_day": {"gte": "1999-12-30", "lte": "2000-01-02T10:00:
 
 _LINES = "FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
 flat("join_inner", "orders", f"SELECT o_orderkey, l_quantity AS lineitems_l_quantity {_LINES} WHERE o_custkey < 100", select=["o_orderkey", {"lineitems": ["l_quantity"]}], filter={"o_custkey": {"lt": 100}})
+flat("join_inner_whole", "orders", f"SELECT o_orderkey, l_quantity AS lineitems_l_quantity {_LINES}", select=["o_orderkey", {"lineitems": ["l_quantity"]}])
 for _name in ("left", "outer"):
     flat(
         f"join_{_name}",
@@ -318,18 +319,20 @@ SQL["page_paginated"] = """SELECT greatest(least(total - 45, 20), 0) AS items, t
 # -- nested results, flattened again
 
 
-def _nested(spark: SparkSession, folder: str) -> DataFrame:
-    builder = QueryBuilder(tables(spark, folder), "customer").build(select=["c_custkey", {"orders": ["o_orderstatus", {"lineitems": ["l_returnflag"]}]}], filter={"c_custkey": {"lt": 300}})
+def _nested(spark: SparkSession, folder: str, filters: dict[str, Any] | None = None) -> DataFrame:
+    builder = QueryBuilder(tables(spark, folder), "customer").build(select=["c_custkey", {"orders": ["o_orderstatus", {"lineitems": ["l_returnflag"]}]}], filter=filters)
     rows = builder.nested_df().select("c_custkey", F.posexplode("orders").alias("place", "o"))
     return rows.select("c_custkey", F.col("o.o_orderstatus").alias("status"), F.size("o.lineitems").cast("long").alias("n_flags")).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("n_flags").alias("n_flags"))
 
 
-QUERIES["nest_two_levels"] = _nested
+QUERIES["nest_two_levels"] = lambda spark, folder: _nested(spark, folder, {"c_custkey": {"lt": 300}})
 SQL["nest_two_levels"] = """WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, list_sort(list_distinct(list(l_returnflag))) AS flags, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS seen
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 300 GROUP BY ALL),
   -- children are equal if their fields are, lists in the order of their first rows included
   d AS (SELECT DISTINCT o_custkey, o_orderstatus, list_distinct(flags) AS f, list_reduce(string_split(seen, ''), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || x END) AS first_seen FROM o)
   SELECT o_custkey AS c_custkey, count(*) AS n_orders, CAST(sum(len(f)) AS BIGINT) AS n_flags FROM d GROUP BY o_custkey"""
+QUERIES["nest_two_levels_whole"] = _nested
+SQL["nest_two_levels_whole"] = SQL["nest_two_levels"].replace(" WHERE o_custkey < 300", "")
 
 
 def _fetched(spark: SparkSession, folder: str) -> DataFrame:
