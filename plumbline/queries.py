@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -263,6 +264,30 @@ def _sorted(name: str, sort: list[Any], order: str, limit: int = 25, offset: int
       WHERE n > {offset or 0} AND n <= {(offset or 0) + limit}"""
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """The rows of a sorted frame and place, their number in its order; a row for each partition comes to the driver."""
+    # Kept, as the bounds of the partitions may be others when the rows are sorted again.
+    kept = df.withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.shiftright("_at", 33)
+    starts, begin = [], 0
+    for r in kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        starts.append((r.part, begin))
+        begin += r.n
+    ahead = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(ahead), part == F.col("_part")).select(place.alias("place"), *df.columns)
+
+
+def _sorted_whole(name: str, sort: list[Any], order: str, joins: str = "") -> None:
+    """The same without a limit: the place of every row."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return _placed(QueryBuilder(tables(spark, folder), "orders").build(select=["o_orderkey", "o_totalprice"], sort=sort).flat_df("_"))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT row_number() OVER (ORDER BY {order}, o_orderkey) - 1 AS place, o_orderkey, o_totalprice FROM orders {joins}"
+
+
 _sorted("sort_asc", ["o_totalprice"], "o_totalprice")
 _sorted("sort_plus", ["+o_orderpriority"], "o_orderpriority")
 _sorted("sort_desc", ["-o_totalprice"], "o_totalprice DESC")
@@ -274,6 +299,16 @@ _CUSTOM = "CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 3 END"
 _sorted("sort_custom", [{"o_orderstatus": ["P", "F"]}], _CUSTOM, limit=200)
 _sorted("sort_custom_values", [{"o_orderstatus": {"values": ["P", "F"]}}, "-o_totalprice"], f"{_CUSTOM}, o_totalprice DESC", limit=200)
 _sorted("sort_custom_order", [{"o_orderstatus": {"order": ["P", "F"]}}, "o_custkey"], f"{_CUSTOM}, o_custkey", limit=200)
+_sorted_whole("sort_asc_whole", ["o_totalprice"], "o_totalprice")
+_sorted_whole("sort_plus_whole", ["+o_orderpriority"], "o_orderpriority")
+_sorted_whole("sort_desc_whole", ["-o_totalprice"], "o_totalprice DESC")
+_sorted_whole("sort_multi_whole", ["-o_orderpriority", "o_orderstatus", "-o_custkey"], "o_orderpriority DESC, o_orderstatus, o_custkey DESC")
+_sorted_whole("sort_unselected_whole", ["-o_orderdate"], "o_orderdate DESC")
+_sorted_whole("sort_none_whole", [], "o_orderkey")
+_sorted_whole("sort_to_one_path_whole", ["-customer.c_acctbal"], "c_acctbal DESC", joins="LEFT JOIN customer ON c_custkey = o_custkey")
+_sorted_whole("sort_custom_whole", [{"o_orderstatus": ["P", "F"]}], _CUSTOM)
+_sorted_whole("sort_custom_values_whole", [{"o_orderstatus": {"values": ["P", "F"]}}, "-o_totalprice"], f"{_CUSTOM}, o_totalprice DESC")
+_sorted_whole("sort_custom_order_whole", [{"o_orderstatus": {"order": ["P", "F"]}}, "o_custkey"], f"{_CUSTOM}, o_custkey")
 _sorted("page_limit", ["o_orderkey"], "o_orderkey", limit=7)
 _sorted("page_offset", ["o_orderkey"], "o_orderkey", limit=7, offset=14)
 _sorted("page_topk_filtered", ["-o_totalprice"], "o_totalprice DESC", limit=10, filters={"o_orderstatus": "F", "o_totalprice": {"gt": 100000}}, where="o_orderstatus = 'F' AND o_totalprice > 100000")
@@ -346,6 +381,18 @@ SQL["nest_run"] = """WITH page AS (SELECT o_orderkey, c_name, n_name, l_returnfl
     ORDER BY o_totalprice DESC, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 150)
   SELECT o_orderkey, c_name, n_name, count(DISTINCT l_returnflag) AS n_flags FROM page GROUP BY ALL"""
 
+
+def _nested_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without a limit, and the place of each object; the result stays in Spark."""
+    builder = QueryBuilder(tables(spark, folder), "orders").build(select=["o_orderkey", {"customer": ["c_name", {"nation": ["n_name"]}]}, {"lineitems": ["l_returnflag"]}], sort=["-o_totalprice"])
+    placed = _placed(builder.nested_df())
+    return placed.select("place", "o_orderkey", F.col("customer.c_name").alias("c_name"), F.col("customer.nation.n_name").alias("n_name"), F.size("lineitems").cast("long").alias("n_flags"))
+
+
+QUERIES["nest_run_whole"] = _nested_all
+SQL["nest_run_whole"] = """SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place, o_orderkey, c_name, n_name, count(DISTINCT l_returnflag) AS n_flags
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_totalprice, o_orderkey, c_name, n_name"""
+
 # -- groups
 
 

@@ -22,3 +22,34 @@ def test_nesting_has_all_customers_with_lines(spark):
     got = QUERIES["nest_two_levels_whole"](spark, FOLDER)
     assert got.count() == rows_of_sql(FOLDER, "SELECT count(DISTINCT o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey")[1][0][0]
     assert same(got, FOLDER, SQL["nest_two_levels_whole"]) is None
+
+
+@pytest.mark.parametrize("name", sorted(x for x in QUERIES if x.startswith("sort_") and x.endswith("_whole")))
+def test_every_row_has_its_place(spark, name):
+    """Each capped sort has a whole one, which numbers all orders in order."""
+    assert name.removesuffix("_whole") in QUERIES
+    got = QUERIES[name](spark, FOLDER)
+    assert got.count() == rows_of_sql(FOLDER, "SELECT count(*) FROM orders")[1][0][0]
+    assert same(got, FOLDER, SQL[name]) is None
+
+
+def test_custom_order_places_all_values(spark):
+    got = {r.o_orderkey: r.place for r in QUERIES["sort_custom_whole"](spark, FOLDER).collect()}
+    status = dict(rows_of_sql(FOLDER, "SELECT o_orderkey, o_orderstatus FROM orders")[1])
+    ends = {s: [min(p for k, p in got.items() if status[k] == s), max(p for k, p in got.items() if status[k] == s)] for s in set(status.values())}
+    assert set(ends) == {"P", "F", "O"} and ends["P"][1] < ends["F"][0] and ends["F"][1] < ends["O"][0]
+
+
+def test_whole_nested_run_is_in_order(spark):
+    assert same(QUERIES["nest_run_whole"](spark, FOLDER), FOLDER, SQL["nest_run_whole"]) is None
+
+
+def test_every_cap_has_a_whole_sort():
+    assert {f"{x}_whole" for x in QUERIES if x.startswith("sort_") and not x.endswith("_whole")} <= set(QUERIES)
+
+
+def test_whole_sorts_run_in_full(spark):
+    """No top-k, and no window over a single partition."""
+    df = QUERIES["sort_desc_whole"](spark, FOLDER)
+    found = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "rangepartitioning" in found and "TakeOrderedAndProject" not in found and "Window" not in found
