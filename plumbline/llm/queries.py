@@ -37,7 +37,11 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     made = token_output.TokenOutput(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end=50256)
-    return made.sequences().select("slot", "shard", "sequence", "doc_ids", F.size("doc_ids").cast("long").alias("n_docs"), F.crc32("tokens").alias("tokens_crc32"))
+    path = made.scratch.path("out")
+    made.write(path)
+    # Slots and checksums are those of the files; what the files don't say is joined to them.
+    stored = token_output.Reader(spark, path).records(F.crc32, "tokens_crc32")
+    return stored.join(made.sequences(tokens=False), "slot", "left").select("slot", "shard", "sequence", "doc_ids", F.size("doc_ids").cast("long").alias("n_docs"), "tokens_crc32")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, Scratch, map_texts, running_base, ship
+from .common import BROADCAST_KEYS, Scratch, let, map_texts, running_base, ship
 from .shingles import BASE, mixed
 
 LENGTH, PER_SHARD, ROUNDS = 1024, 8192, 6
@@ -122,13 +122,15 @@ class TokenOutput:
         self.n_shards = max(1, -(-self.n_sequences // per_shard))
         self.order = Feistel(self.n_sequences, key)
 
-    def sequences(self) -> DataFrame:
-        """slot, shard, sequence (long), doc_ids (array, in order), tokens (binary, length ids); a partition for each shard, in the order of slots."""
+    def sequences(self, tokens: bool = True) -> DataFrame:
+        """slot, shard, sequence (long), doc_ids (array, in order), tokens (binary, length ids); a partition for each shard, in the order of slots.
+
+        Without ``tokens``, that column is null and ids are neither read nor shuffled."""
         length, per_shard, order, kind, end = self.length, self.per_shard, self.order, number_type(self.end), self.end
         width = np.dtype(kind).itemsize
         ship(self.spark)
         bases = F.broadcast(self.bases) if self.n_parts <= BROADCAST_KEYS else self.bases
-        rows = self.tokens.where("n > 0").join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("place"), "n", "tokens")
+        rows = self.tokens.where("n > 0").join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("place"), "n", (F.col("tokens") if tokens else F.lit(None).cast("binary")).alias("tokens"))
 
         def pieces(batches: Iterator) -> Iterator:
             import pyarrow as pa
@@ -141,8 +143,8 @@ class TokenOutput:
                 sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                 begin = np.maximum(sequence * length, place[row])
                 stop = np.minimum((sequence + 1) * length, (place + n)[row])
-                tokens = batch.column(3).to_pylist()
-                own = [tokens[r][a:b] for r, a, b in zip(row.tolist(), ((begin - place[row]) * width).tolist(), ((stop - place[row]) * width).tolist(), strict=True)]
+                whole = batch.column(3).to_pylist() if tokens else []
+                own = [None] * len(row) if not tokens else [whole[r][a:b] for r, a, b in zip(row.tolist(), ((begin - place[row]) * width).tolist(), ((stop - place[row]) * width).tolist(), strict=True)]
                 slot = order.slots(sequence)
                 yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(sequence), pa.array(begin - sequence * length), batch.column(0).take(pa.array(row)).cast(pa.int64()), pa.array(own, type=pa.binary())], names=["shard", "slot", "sequence", "at", "doc_id", "tokens"])
 
@@ -158,22 +160,22 @@ class TokenOutput:
             open_: list = []  # slot, shard, sequence, ids, parts of the record at hand
 
             def record(x: list) -> tuple:
-                tokens = b"".join(x[4])
-                return x[0], x[1], x[2], x[3], tokens + fill * ((size - len(tokens)) // width)
+                ids = b"".join(x[4]) if tokens else None
+                return x[0], x[1], x[2], x[3], ids + fill * ((size - len(ids)) // width) if tokens else None
 
             def out(done: list) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
 
             for batch in batches:
                 done = []
-                for shard, slot, sequence, _, doc, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for shard, slot, sequence, _, doc, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if open_ and open_[0] != slot:
                         done.append(record(open_))
                         open_ = []
                     if not open_:
                         open_ = [slot, shard, sequence, [], []]
                     open_[3].append(doc)
-                    open_[4].append(tokens)
+                    open_[4].append(part)
                 if done:
                     yield out(done)
             if open_:
@@ -227,3 +229,18 @@ class Reader:
         slots = F.explode(F.sequence(F.greatest(F.lit(first), F.col("shard") * self.per_shard), F.least(F.lit(last), (F.col("shard") + 1) * self.per_shard) - 1))
         rows = files.select("content", F.col("shard").cast("long").alias("shard")).select("content", slots.alias("slot"))
         return rows.select("slot", F.substring("content", F.pmod("slot", F.lit(self.per_shard)).cast("int") * self.stride + 1, F.lit(self.stride)).alias("tokens"))
+
+    def records(self, value=lambda tokens: tokens, name: str = "tokens") -> DataFrame:
+        """slot and ``value`` of the tokens of all records: each shard's file is read once and cut up, in Spark."""
+        if not self.n_sequences:
+            return self.read(0, 0).select("slot", value(F.col("tokens")).alias(name))
+        files = self.spark.read.format("binaryFile").option("basePath", f"{self.path}/shards").load(f"{self.path}/shards/shard=*").select(F.col("shard").cast("long").alias("shard"), "content")
+        stride, per_shard = self.stride, self.per_shard
+
+        def cut(content: Column) -> Column:
+            # A line feed is behind the last record.
+            ends = F.sequence(F.lit(1), F.floor((F.octet_length(content) - 1) / stride).cast("int"))
+            return F.transform(ends, lambda k: F.struct((F.col("shard") * per_shard + k - 1).alias("slot"), value(F.substring(content, (k - 1) * stride + 1, F.lit(stride))).alias(name)))
+
+        # Held by let, as each use of a row's column would copy the whole file.
+        return files.select(F.inline(let(F.col("content"), cut)))

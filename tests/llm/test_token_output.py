@@ -1,5 +1,6 @@
 import base64
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -75,3 +76,34 @@ def test_empty(spark, empty):
     assert made(none).sequences().collect() == []
     one = spark.createDataFrame([(None, "a", 1)], "doc_id bigint, text string, slot int")
     assert [(r.slot, r.doc_ids) for r in made(one).sequences().collect()] == [(0, [None])]
+
+
+def test_query_writes_shards_and_reads_them(spark, docs, rows, tmp_path, monkeypatch):
+    from plumbline.llm.queries import op2_token_output
+
+    wrote, read = [], []
+    write, records = TokenOutput.write, Reader.records
+    monkeypatch.setattr(TokenOutput, "write", lambda self, path: (wrote.append(path), write(self, path))[1])
+    monkeypatch.setattr(Reader, "records", lambda self, *of: (read.append(self.path), records(self, *of))[1])
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op2_token_output(spark, f"file://{tmp_path}").collect()
+    assert len(wrote) == 1 and read == wrote
+    want = made(spark.read.parquet(f"file://{tmp_path}/documents.parquet")).sequences().collect()
+    assert sorted((r.slot, r.shard, r.sequence, r.n_docs, r.tokens_crc32) for r in got) == sorted((r.slot, r.shard, r.sequence, len(r.doc_ids), zlib.crc32(bytes(r.tokens))) for r in want)
+    assert sorted(x or 0 for r in got for x in r.doc_ids) == sorted(x or 0 for r in want for x in r.doc_ids)
+
+
+def test_all_records_of_many_shards(spark, docs, tmp_path):
+    t = made(docs, length=16, per_shard=64)
+    t.write(f"file://{tmp_path}/out")
+    want = t.sequences().collect()
+    assert {r.slot: bytes(r.tokens) for r in Reader(spark, f"file://{tmp_path}/out").records().collect()} == {r.slot: bytes(r.tokens) for r in want}
+    bare = t.sequences(tokens=False).collect()
+    assert sorted((r.slot, r.shard, r.sequence, r.doc_ids, r.tokens) for r in bare) == sorted((r.slot, r.shard, r.sequence, r.doc_ids, None) for r in want)
+
+
+def test_query_of_nothing(spark, empty, tmp_path):
+    from plumbline.llm.queries import op2_token_output
+
+    empty.write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert op2_token_output(spark, f"file://{tmp_path}").collect() == []
