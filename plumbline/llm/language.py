@@ -8,8 +8,8 @@ kernel is a product of presence vectors, landmarks and weights fold into one mat
 texts is scored by a product with it.
 
 The model is fitted on the driver on a bounded sample: at most ``per_lang`` texts of each language, of the ``most_langs``
-most frequent languages, at most ``sample_chars`` characters in all; which ones, a hash of the id decides. Every
-text is then scored as a whole, in one scan without a shuffle.
+most frequent languages, at most ``sample_chars`` characters in all; which ones, a hash of the id decides.
+Languages take texts in turn; a text that would go beyond the characters is skipped. Every text is then scored as a whole, in one scan without a shuffle.
 
 Defined results: a null text and one without a letter are ``und`` with score 0, and so is every text if nothing could be
 learned; null ids take no part in training and are passed through, as not held out; a null language is never
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -183,13 +182,27 @@ def training_sample(df: DataFrame, *, per_lang: int = PER_LANG, most_langs: int
         if taken[r.lang] < per_lang:
             taken[r.lang] += 1
             kept.append(r)
-    # In the order of the hash, as far as the characters go.
-    fits = [r for r, total in zip(kept, accumulate(r.chars for r in kept), strict=True) if total <= sample_chars] or kept[:1]
-    ids = sorted({r.doc_id for r in fits})
+    fits = in_turn([(r.lang, r.chars) for r in kept], sample_chars) or [min(range(len(kept)), key=lambda k: kept[k].chars)] * bool(kept)
+    ids = sorted({kept[k].doc_id for k in fits})
     texts = rows.where(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id", "lang"]).collect()
     return sorted(((r.text, r.lang) for r in texts), key=lambda x: (x[1], hash_of(x[0])))
 
 
+def in_turn(found: list[tuple[str, int]], most: int) -> list[int]:
+    """Places of the (language, characters) that are taken: the next of each language in turn, a text that doesn't fit is skipped."""
+    place: Counter[str] = Counter()
+    turns = []
+    for k, (lang, _) in enumerate(found):
+        turns.append((place[lang], lang, k))
+        place[lang] += 1
+    out, total = [], 0
+    for *_, k in sorted(turns):
+        if total + found[k][1] <= most:
+            total += found[k][1]
+            out.append(k)
+    return sorted(out)
+
+
 def hash_of(text: str) -> int:
     import zlib
 

@@ -71,3 +71,11 @@ def test_edges(spark, docs, rows, empty):
     assert [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in identify(nothing).collect()] == [(1, False, "und", 0.0), (None, False, "und", 0.0)]
     hot = spark.createDataFrame([(5, "abc", "en")] * 300 + [(6, "xyz", "de")] * 2, "doc_id bigint, text string, lang string")
     assert len(language.training_sample(hot)) <= 2
+
+
+def test_bound_of_characters_keeps_rare_languages(spark):
+    """Neither a frequent language nor a text over the bound takes the sample from others."""
+    rows = [(k, "abc def " * 10, "often") for k in range(2000)] + [(5000 + k, "uvw xyz " * 10, "rare") for k in range(8)] + [(9000 + k, "long " * 2000, "long") for k in range(4)]
+    got = language.training_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_chars=800)
+    assert {x for _, x in got} == {"often", "rare"} and sum(len(t) for t, _ in got) <= 800
+    assert language.in_turn([("a", 3), ("a", 3), ("a", 3), ("b", 99), ("b", 2)], 8) == [0, 1, 4]
