@@ -8,18 +8,21 @@ a table. Shard s has the slots from s * per_shard on, in order; every record has
 starts at byte (x % per_shard) * stride of its shard, and reading can begin or go on anywhere.
 
 Passes: tokenise (ids are written to the shared folder with their places in their partition's stream);
-sum up the partitions; cut the stream into pieces of sequences; one shuffle by shard, every shard of the
-same size, whatever the documents are like; join the pieces.
+sum up the partitions; cut each batch's part of the stream at the borders of sequences, so that nearly all of them
+leave their task whole; one shuffle by shard, every shard of the same size, whatever the documents are like;
+join what batches cut apart. Records are written one by one: no task holds a shard.
 
 Defined results: null and empty texts add nothing to the stream; a null id is kept among the ids of a sequence;
-repeated rows are in the stream as often; other columns are not read; an empty table gives no sequence; long
-texts go on over as many sequences as they fill. Special tokens' strings in texts are ordinary text.
+ids keep their type; repeated rows are in the stream as often; other columns, whatever their names, are not read; an empty
+table gives no sequence; long texts, also long runs of white space, which the library can't split, go on over as many
+sequences as they fill. Special tokens' strings in texts are ordinary text. Slots are distinct: there are no ties.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,10 +30,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, Scratch, let, map_texts, running_base, ship
+from .common import AT_A_TIME, BROADCAST_KEYS, Scratch, let, map_texts, running_base, ship
 from .shingles import BASE, mixed
+from .token_counts import WS
 
 LENGTH, PER_SHARD, ROUNDS = 1024, 8192, 6
+#: Runs of white space that are taken apart from a text: the library's matching goes back over them and overflows its stack.
+BLANKS = re.compile(f"[{WS}]{{1000,}}")
+#: Behind each record.
+SEPARATOR = "\n"
 
 
 class Feistel:
@@ -61,13 +69,25 @@ class Feistel:
 
 
 class Ranks:
-    """A vocabulary of ranks: base64 and number in each line; ids are written in two bytes if they fit."""
+    """A vocabulary of ranks (base64 and number in each line) and a pattern in which, as is usual, white space before other
+    characters is a word of its own but for its last character."""
 
     def __init__(self, raw: bytes, pattern: str):
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        self.plain, self.single = core.encode_ordinary, core._core_bpe.encode_single_piece
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text of any length. A long run of white space is one word, at once; before other characters its last one belongs to these."""
+        ids, at = [], 0
+        for run in BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.plain(text[at : run.start()])
+            ids += self.single(text[run.start() : end].encode())
+            at = end
+        return ids + self.plain(text[at:]) if at else self.plain(text)
 
 
 _READY: dict[int, Ranks] = {}
@@ -123,7 +143,7 @@ class TokenOutput:
         self.order = Feistel(self.n_sequences, key)
 
     def sequences(self, tokens: bool = True) -> DataFrame:
-        """slot, shard, sequence (long), doc_ids (array, in order), tokens (binary, length ids); a partition for each shard, in the order of slots.
+        """slot, shard, sequence (long), doc_ids (array, in order), tokens (binary, length ids); partition s is shard s, in the order of slots.
 
         Without ``tokens``, that column is null and ids are neither read nor shuffled."""
         length, per_shard, order, kind, end = self.length, self.per_shard, self.order, number_type(self.end), self.end
@@ -131,32 +151,40 @@ class TokenOutput:
         ship(self.spark)
         bases = F.broadcast(self.bases) if self.n_parts <= BROADCAST_KEYS else self.bases
         rows = self.tokens.where("n > 0").join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("place"), "n", (F.col("tokens") if tokens else F.lit(None).cast("binary")).alias("tokens"))
+        ids = f"doc_ids array<{self.tokens.schema['doc_id'].dataType.simpleString()}>"
 
         def pieces(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            for batch in batches:
-                place, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-                first, last = place // length, (place + n - 1) // length
-                many = last - first + 1
-                row = np.repeat(np.arange(len(n)), many)
-                sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                begin = np.maximum(sequence * length, place[row])
-                stop = np.minimum((sequence + 1) * length, (place + n)[row])
-                whole = batch.column(3).to_pylist() if tokens else []
-                own = [None] * len(row) if not tokens else [whole[r][a:b] for r, a, b in zip(row.tolist(), ((begin - place[row]) * width).tolist(), ((stop - place[row]) * width).tolist(), strict=True)]
-                slot = order.slots(sequence)
-                yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(sequence), pa.array(begin - sequence * length), batch.column(0).take(pa.array(row)).cast(pa.int64()), pa.array(own, type=pa.binary())], names=["shard", "slot", "sequence", "at", "doc_id", "tokens"])
-
-        cut = rows.mapInArrow(pieces, "shard int, slot bigint, sequence bigint, at bigint, doc_id bigint, tokens binary")
+            for whole in batches:
+                place, n = (whole.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+                # Documents that follow on one another are one stretch of the stream.
+                breaks = np.flatnonzero(place[1:] != (place + n)[:-1]) + 1
+                for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(n)], strict=True):
+                    if a == b:
+                        continue
+                    batch, starts, ends = whole.slice(a, b - a), place[a:b], (place + n)[a:b]
+                    sequence = np.arange(starts[0] // length, (ends[-1] - 1) // length + 1)
+                    begin, stop = np.maximum(sequence * length, starts[0]), np.minimum((sequence + 1) * length, ends[-1])
+                    first, last = np.searchsorted(ends, begin, "right"), np.searchsorted(starts, stop, "left")
+                    offsets = np.append(0, np.cumsum(last - first))
+                    own = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, last - first)
+                    held = b"".join(batch.column(3).to_pylist()) if tokens else b""
+                    cuts = zip(((begin - starts[0]) * width).tolist(), ((stop - starts[0]) * width).tolist(), strict=True)
+                    slot = order.slots(sequence)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(sequence), pa.array(begin - sequence * length), pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), batch.column(0).take(pa.array(own))), pa.array([held[x:y] for x, y in cuts] if tokens else [None] * len(slot), type=pa.binary())],
+                        names=["shard", "slot", "sequence", "at", "doc_ids", "tokens"],
+                    )
+
+        cut = rows.mapInArrow(pieces, f"shard int, slot bigint, sequence bigint, at bigint, {ids}, tokens binary")
         dealt = cut.repartitionById(self.n_shards, F.col("shard")).sortWithinPartitions("slot", "at")
 
         def joined(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             size, fill = length * width, np.array([end], dtype=kind).tobytes()
-            names = ["slot", "shard", "sequence", "doc_ids", "tokens"]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            names, kinds = ["slot", "shard", "sequence", "doc_ids", "tokens"], None
             open_: list = []  # slot, shard, sequence, ids, parts of the record at hand
 
             def record(x: list) -> tuple:
@@ -164,52 +192,44 @@ class TokenOutput:
                 return x[0], x[1], x[2], x[3], ids + fill * ((size - len(ids)) // width) if tokens else None
 
             def out(done: list) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
-
-            for batch in batches:
-                done = []
-                for shard, slot, sequence, _, doc, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if open_ and open_[0] != slot:
-                        done.append(record(open_))
-                        open_ = []
-                    if not open_:
-                        open_ = [slot, shard, sequence, [], []]
-                    open_[3].append(doc)
-                    open_[4].append(part)
-                if done:
-                    yield out(done)
+                return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+            for whole in batches:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), whole.schema.field(4).type, pa.binary()]
+                for batch in (whole.slice(k, AT_A_TIME) for k in range(0, whole.num_rows, AT_A_TIME)):
+                    done = []
+                    for shard, slot, sequence, _, docs, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        if open_ and open_[0] != slot:
+                            done.append(record(open_))
+                            open_ = []
+                        if open_:
+                            open_[3] += docs
+                            open_[4].append(part)
+                        else:
+                            open_ = [slot, shard, sequence, docs, [part]]
+                    if done:
+                        yield out(done)
             if open_:
                 yield out([record(open_)])
 
-        return dealt.mapInArrow(joined, "slot bigint, shard int, sequence bigint, doc_ids array<bigint>, tokens binary")
+        return dealt.mapInArrow(joined, f"slot bigint, shard int, sequence bigint, {ids}, tokens binary")
 
     @property
     def stride(self) -> int:
-        return self.length * np.dtype(number_type(self.end)).itemsize
+        return self.length * np.dtype(number_type(self.end)).itemsize + len(SEPARATOR)
 
     def write(self, path: str) -> None:
-        """``path/shards/shard=0`` and so on: one file each, its records end to end and a line feed behind the last; ``path/layout``: what a reader needs.
-
-        Spark's text writer puts the bytes out as they are, to any file system, and files appear when their task has ended well."""
-
-        def whole(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            shard, parts = None, []
-            for batch in batches:
-                shard = batch.column(0)[0].as_py() if batch.num_rows else shard
-                parts += batch.column(1).to_pylist()
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([shard], type=pa.int32()), pa.array([b"".join(parts)], type=pa.binary())], names=["shard", "content"])
+        """``path/shards/part-00000-...`` and so on: one file for each shard, by its number, a separator behind each record; ``path/layout``: what a reader needs.
 
-        files = self.sequences().select("shard", "tokens").mapInArrow(whole, "shard int, content binary")
-        files.select("shard", F.col("content").cast("string")).write.mode("overwrite").partitionBy("shard").text(f"{path}/shards")
+        Spark's text writer puts the bytes out as they are, row by row, to any file system, and files appear when their task has ended well.
+        The number in a file's name is that of the task's partition, and partition s is shard s."""
+        self.sequences().select(F.col("tokens").cast("string")).write.mode("overwrite").option("lineSep", SEPARATOR).text(f"{path}/shards")
         layout = {"length": self.length, "stride": self.stride, "per_shard": self.per_shard, "n_sequences": self.n_sequences, "n_tokens": self.n_tokens, "kind": number_type(self.end), "key": self.key}
         self.spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/layout")
 
 
 class Reader:
-    """Reads written slots from any slot on."""
+    """Reads written slots from any slot on. Through Spark, a shard's file is held by the task that reads it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -219,28 +239,32 @@ class Reader:
         """The shard of a slot and the byte at which its record starts."""
         return slot // self.per_shard, slot % self.per_shard * self.stride
 
+    def files(self, shards: range | None = None) -> DataFrame:
+        """shard and content of these files, or of all."""
+        read = self.spark.read.format("binaryFile")
+        if shards is not None:
+            read = read.option("pathGlobFilter", f"part-{{{','.join(f'{s:05d}' for s in shards)}}}-*")
+        return read.load(f"{self.path}/shards").select(F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("long").alias("shard"), "content")
+
     def read(self, first: int, n: int) -> DataFrame:
         """slot and tokens of the slots from first on, n at most; only their shards' files are opened."""
         last = min(first + n, self.n_sequences)
         if last <= first:
             return self.spark.createDataFrame([], "slot bigint, tokens binary")
-        shards = range(first // self.per_shard, (last - 1) // self.per_shard + 1)
-        files = self.spark.read.format("binaryFile").option("basePath", f"{self.path}/shards").load([f"{self.path}/shards/shard={s}" for s in shards])
+        files = self.files(range(first // self.per_shard, (last - 1) // self.per_shard + 1))
         slots = F.explode(F.sequence(F.greatest(F.lit(first), F.col("shard") * self.per_shard), F.least(F.lit(last), (F.col("shard") + 1) * self.per_shard) - 1))
-        rows = files.select("content", F.col("shard").cast("long").alias("shard")).select("content", slots.alias("slot"))
-        return rows.select("slot", F.substring("content", F.pmod("slot", F.lit(self.per_shard)).cast("int") * self.stride + 1, F.lit(self.stride)).alias("tokens"))
+        rows = files.select("content", "shard").select("content", slots.alias("slot"))
+        return rows.select("slot", F.substring("content", F.pmod("slot", F.lit(self.per_shard)).cast("int") * self.stride + 1, F.lit(self.stride - len(SEPARATOR))).alias("tokens"))
 
     def records(self, value=lambda tokens: tokens, name: str = "tokens") -> DataFrame:
         """slot and ``value`` of the tokens of all records: each shard's file is read once and cut up, in Spark."""
         if not self.n_sequences:
             return self.read(0, 0).select("slot", value(F.col("tokens")).alias(name))
-        files = self.spark.read.format("binaryFile").option("basePath", f"{self.path}/shards").load(f"{self.path}/shards/shard=*").select(F.col("shard").cast("long").alias("shard"), "content")
         stride, per_shard = self.stride, self.per_shard
 
         def cut(content: Column) -> Column:
-            # A line feed is behind the last record.
-            ends = F.sequence(F.lit(1), F.floor((F.octet_length(content) - 1) / stride).cast("int"))
-            return F.transform(ends, lambda k: F.struct((F.col("shard") * per_shard + k - 1).alias("slot"), value(F.substring(content, (k - 1) * stride + 1, F.lit(stride))).alias(name)))
+            ends = F.sequence(F.lit(1), F.floor(F.octet_length(content) / stride).cast("int"))
+            return F.transform(ends, lambda k: F.struct((F.col("shard") * per_shard + k - 1).alias("slot"), value(F.substring(content, (k - 1) * stride + 1, F.lit(stride - len(SEPARATOR)))).alias(name)))
 
         # Held by let, as each use of a row's column would copy the whole file.
-        return files.select(F.inline(let(F.col("content"), cut)))
+        return self.files().where("length(content) > 0").select(F.inline(let(F.col("content"), cut)))
