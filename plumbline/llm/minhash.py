@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts
+from .common import Scratch, map_texts, set_aside
 from .shingles import BASE, mixed, numbers, set_hash, shingle_sets
 
 BINS_LOG = 8
@@ -228,3 +228,16 @@ def near_duplicates(df: DataFrame, *, size: int = 5, percent: int = 80, bands: i
 
     Texts are linked if 100 * intersection >= percent * union of their sets of shingles of ``size`` words."""
     return NearDuplicates(df, size=size, percent=percent, bands=bands, rows=rows or rows_for(percent, bands), id_col=id_col, text_col=text_col).run()
+
+
+def representatives(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, with all columns: that of the least id, nulls last; of rows with the same id, the first.
+
+    Rows are told apart by a number, which is written first, so that it is the same in every pass; ids may repeat or be null."""
+    names = df.columns
+    df = set_aside(df, ("_row", "_who"))
+    numbered = Scratch(df.sparkSession, "rows").cut(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = F.col(f"`{df.columns[names.index(id_col)]}`")
+    who = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("_row").alias("row"))
+    kept = near_duplicates(numbered.select(who.alias("_who"), F.col(f"`{df.columns[names.index(text_col)]}`").alias("_text")), id_col="_who", text_col="_text", **options)
+    return numbered.join(kept.where("kept").select(F.col("doc_id.row").alias("_row")), "_row", "left_semi").drop("_row").toDF(*names)
