@@ -1,5 +1,8 @@
+import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from plumbline.llm import sharding
 
 
@@ -49,3 +52,43 @@ def test_written_shards(spark, docs, rows, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == len(rows)
     assert sorted(p.name for p in (tmp_path / "out").glob("shard=*")) == [f"shard={k}" for k in range(4)]
+
+
+@pytest.mark.parametrize("bucket_bytes", [2000, 1 << 20])
+def test_order_is_that_of_the_seed(spark, rows, docs, tmp_path, bucket_bytes):
+    """Neither the settings of shuffles nor adaptive planning change the order."""
+    docs.write.parquet(f"file://{tmp_path}/in")
+    df, seen = spark.read.parquet(f"file://{tmp_path}/in"), []
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for n, adaptive in (("4", "true"), ("16", "true"), ("16", "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = sharding.shuffled(df, 3, bucket_bytes=bucket_bytes).collect()
+            seen.append(sorted(((r.shard, r.slot, r.doc_id, r.text) for r in got), key=str))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+
+
+def test_query(spark, docs, rows, tmp_path):
+    """Every column that is asked for, row by row."""
+    from plumbline.llm.queries import op1_sharding
+
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op1_sharding(spark, f"file://{tmp_path}")
+    assert dict(got.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    got = got.collect()
+    plain = lambda t: (None, 8) if t is None else (zlib.crc32(t.encode()), len(t.encode()) + 8)
+    assert Counter((r.doc_id, r.text_crc32, r["size"]) for r in got) == Counter((d, *plain(t)) for d, t, *_ in rows)
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    counts = Counter(r.shard for r in got)
+    assert set(counts) == set(range(24)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+
+
+def test_long_texts(spark):
+    df = spark.createDataFrame([(k, "x" * (3_000_000 if k == 5 else 3)) for k in range(40)], "doc_id bigint, text string")
+    got = sharding.shuffled(df, 4, bucket_bytes=1000).collect()
+    assert sorted((r.doc_id, len(r.text)) for r in got) == [(k, 3_000_000 if k == 5 else 3) for k in range(40)]
