@@ -11,16 +11,17 @@ there and the shortest that ends there are looked at: together they cover every
 longer run. Suffixes with the first w lines in common - an interval of the suffix array with longest
 common prefixes of w or more - have the same ranks of their first and of their last 2^k of these lines,
 2^k <= w < 2^(k+1), so intervals are read off the ranks without comparing lines again. In an
-interval the copy in the smallest document (then line) stays; the lines of the others are deleted.
+interval the copy in the smallest document (then line) stays; the lines of the others are deleted, also where
+they overlap that copy: of a line that stands 100 times, one after another, the first is left.
 Touching deleted lines make up the maximal runs. As every line in a sequence has a word, a run
-looked at has min_words lines at most and the doubling ends at that depth.
+looked at has min_words lines at most and the doubling ends at that depth; no longer common prefixes are measured.
 
-Only built-in functions run. Sums run over blocks of ranks, so that a frequent line with many different
+Only built-in functions run, and time grows with a document's lines (times their logarithm). Sums run over blocks of ranks, so that a frequent line with many different
 lines after it is no single task's work; groups are aggregated before they are shuffled.
 
 Defined results: a null or empty text has no lines and stays as it is; lines without a word are deleted
-only inside a run; a null doc_id counts as greater than all others; of repeated rows one is the
-first; an empty table gives an empty result; all columns of the input are carried, those named like
+only inside one of the shortest runs; a null doc_id counts as greater than all others; of repeated rows one is the
+first; long texts are compared whole; an empty table gives an empty result; all columns of the input are carried, those named like
 an added one with ``_input`` behind their name. A document's lines are held by one task, as its
 text is.
 """
@@ -67,6 +68,10 @@ def _before(groups: DataFrame, keys: list[str], order: list[str], number: str, s
     return inner.join(ahead, [*keys, block]).withColumn("before", F.col("within") + F.col("ahead")).drop(block, "within", "ahead")
 
 
+#: Lengths of runs that are tried one by one before all lengths are; a line has some words as a rule.
+SHORT = 4
+
+
 def _wanted(words: Column, least: int) -> Column:
     """(start, w) of the shortest runs from each line and to each line that have the least number of words."""
 
@@ -75,15 +80,27 @@ def _wanted(words: Column, least: int) -> Column:
         grow = lambda a, x: F.when(a["sum"] >= least, a).otherwise(F.struct((a["sum"] + x).alias("sum"), (a["w"] + 1).alias("w")))
         return F.aggregate(some, zero, grow, lambda a: F.when(a["sum"] >= least, a["w"]))
 
+    def length(x: Column, near, rest) -> Column:
+        """The lines that ``least`` words take, beginning with x and going on with near(1), near(2), ...; rest: all of them."""
+        found, total = F.when(x >= least, F.lit(1)), x
+        for w in range(2, SHORT + 1):
+            total = total + F.coalesce(near(w - 1), F.lit(0))
+            found = found.when(total >= least, F.lit(w))
+        # Beyond the text's end nothing is found; a sum of what there is may be too small, too.
+        return found.otherwise(shortest(rest))
+
     def from_(x: Column, i: Column) -> Column:
-        return F.struct(i.alias("start"), F.when(x >= least, F.lit(1)).otherwise(shortest(F.slice(words, i + 1, least))).alias("w"))
+        return code(i, length(x, lambda k: F.get(words, i + k), F.slice(words, i + 1, least)))
 
     def to(x: Column, i: Column) -> Column:
         first = F.greatest(i + 1 - least, F.lit(0))
-        w = F.when(x >= least, F.lit(1)).otherwise(shortest(F.reverse(F.slice(words, first + 1, i + 1 - first))))
-        return F.struct((i + 1 - w).alias("start"), w.alias("w"))
+        w = length(x, lambda k: F.when(i >= k, F.get(words, i - k)), F.reverse(F.slice(words, first + 1, i + 1 - first)))
+        return code(i + 1 - w, w)
 
-    return F.array_distinct(F.filter(F.concat(F.transform(words, from_), F.transform(words, to)), lambda x: x["w"].isNotNull()))
+    # As numbers, since distinct structs are found by comparing each with each.
+    code = lambda start, w: start.cast("long") * (least + 1) + w
+    runs = F.array_distinct(F.filter(F.concat(F.transform(words, from_), F.transform(words, to)), lambda x: x.isNotNull()))
+    return F.transform(runs, lambda x: F.struct(F.floor(x / (least + 1)).cast("int").alias("start"), (x % (least + 1)).cast("int").alias("w")))
 
 
 def _ranks(lines: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
@@ -92,15 +109,16 @@ def _ranks(lines: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
     Only documents with a line that occurs elsewhere are returned."""
 
     def renewed(found: DataFrame) -> DataFrame:
-        return found.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("rank", "live")))).alias("new"))
+        return found.groupBy("key").agg(F.collect_list(F.struct("i", "rank", "live")).alias("new"))
+
+    def arrays(k: int, entries: Column) -> dict[str, Column]:
+        return {f"r{k}": F.transform(entries, lambda x: x["rank"]), f"l{k}": F.transform(entries, lambda x: x["live"])}
 
     at = lines.select("key", F.posexplode("ids").alias("i", "id")).select("key", "i", "id.a", "id.b")
     groups = at.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     places = _before(groups, [], ["a", "b"], "a", (40, 52)).select("a", "b", F.col("before").alias("rank"), (F.col("n") > 1).alias("live"))
-    first = renewed(at.join(places, ["a", "b"])).where(F.exists(F.map_values("new"), lambda x: x["live"]))
-    ids = lines.drop("ids").join(first, "key")
-    pick = lambda name: F.transform(F.sequence(F.lit(0), F.size("nb") - 1), lambda i: F.col("new")[i][name])
-    ranks = scratch.cut(ids.withColumns({"r0": pick("rank"), "l0": pick("live")}).drop("new"), "ranks0")
+    first = renewed(at.join(places, ["a", "b"])).where(F.exists("new", lambda x: x["live"])).withColumn("new", F.sort_array("new"))
+    ranks = scratch.cut(lines.drop("ids").join(first.select("key", *(c.alias(n) for n, c in arrays(0, F.col("new")).items())), "key"), "ranks0")
     scratch.drop("lines")
     for k in range(levels):
         r, live, step = f"r{k}", f"l{k}", 1 << k
@@ -109,18 +127,18 @@ def _ranks(lines: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
         groups = shared.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n"))
         places = _before(groups, ["r"], ["s"], "s", (12, 24)).select("r", "s", "n", "before")
         found = shared.join(places, ["r", "s"]).select("key", "i", (F.col("r") + F.col("before")).alias("rank"), ((F.col("n") > 1) & (F.col("s") >= 0)).alias("live"))
-        more = {
-            f"r{k + 1}": F.transform(r, lambda x, i: F.coalesce(F.col("new")[i]["rank"], x)),
-            f"l{k + 1}": F.transform(r, lambda x, i: F.coalesce(F.col("new")[i]["live"], F.lit(False))),
-        }
-        renew = ranks.join(renewed(found), "key", "left")
+        # New are the ranks of exactly the lines that shared theirs: with those of the others they are the whole document's, in order.
+        others = F.filter(F.transform(F.arrays_zip(F.col(r).alias("r"), F.col(live).alias("live")), lambda x, i: F.struct(i.alias("i"), x["r"].alias("rank"), x["live"].alias("live"))), lambda x: ~x["live"])
+        whole = F.sort_array(F.concat("new", others))
+        renew = ranks.join(renewed(found), "key", "left").withColumn("new", F.when(F.col("new").isNotNull(), whole))
+        more = {n: F.when(F.col("new").isNull(), F.col(f"{n[0]}{k}")).otherwise(c) for n, c in arrays(k + 1, F.col("new")).items()}
         ranks = scratch.cut(renew.withColumns(more).drop("new"), f"ranks{k + 1}")
         scratch.drop(f"ranks{k}")
     return ranks
 
 
 def _later(ranks: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
-    """key, spans: sorted (line, last, first_doc, first_line) of the runs that an earlier run equals."""
+    """key, runs: sorted (line, last, first_doc, first_line): touching and overlapping runs that an earlier run equals as one; the first one's source stays with it."""
 
     def named(x: Column) -> Column:
         cases: list[Column] = []
@@ -138,20 +156,22 @@ def _later(ranks: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
     firsts = runs.groupBy("w", "p", "q").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # Written first, so that both sides of the join are plain exchanges, of which Spark can split a hot key.
     firsts = scratch.cut(firsts, "firsts")
-    later = runs.join(firsts, ["w", "p", "q"]).where(place > F.col("first"))
-    return later.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("line", "last", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line")))).alias("spans"))
-
-
-def _merged(spans: Column) -> Column:
-    """Touching and overlapping spans as one; the first one's source stays with it."""
+    later = runs.join(firsts, ["w", "p", "q"]).where(place > F.col("first")).select("key", "line", "last", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
+    by_line = Window.partitionBy("key").orderBy("line", "last", "first_doc", "first_line")
+    before = F.max("last").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(before.isNull() | (F.col("line") > before + 1), 1).otherwise(0)
+    # A source follows from its run, so that of the least (line, last, ...) is the first one's.
+    isles = later.withColumn("begins", begins).withColumn("isle", F.sum("begins").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    source = F.min(F.struct("line", "last", "first_doc", "first_line"))
+    merged = isles.groupBy("key", "isle").agg(F.max("last").alias("last"), source.alias("first"))
+    run = F.struct("first.line", "last", "first.first_doc", "first.first_line")
+    return merged.groupBy("key").agg(F.sort_array(F.collect_list(run)).alias("runs"))
 
-    def add(done: Column, x: Column) -> Column:
-        end = F.element_at(done, -1)
-        longer = F.struct(end["line"].alias("line"), F.greatest(end["last"], x["last"]).alias("last"), end["first_doc"].alias("first_doc"), end["first_line"].alias("first_line"))
-        touch = x["line"] <= end["last"] + 1
-        return F.when(touch, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(F.slice(spans, 2, F.size(spans)), F.slice(spans, 1, 1), add)
+def _rest(lines: Column, runs: Column) -> Column:
+    """The lines outside the runs, which are in order and apart."""
+    after = lambda r, j: F.slice(lines, r["last"] + 2, F.coalesce(F.get(runs, j + 1)["line"], F.size(lines)) - r["last"] - 1)
+    return F.flatten(F.concat(F.array(F.slice(lines, 1, F.get(runs, 0)["line"])), F.transform(runs, after)))
 
 
 def dedup(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,10 +192,9 @@ def dedup(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     )
     # The filter stands behind the cut: before it, it would be pushed down and the lines be split twice.
     ranks = _ranks(scratch.cut(lines, "lines").where(F.size("nb") > 0), scratch, levels)
-    runs = _later(ranks, scratch, levels).select(F.col("key").alias("_key"), _merged(F.col("spans")).alias("runs"))
+    runs = _later(ranks, scratch, levels).withColumnRenamed("key", "_key")
     whole = docs.join(runs, "_key", "left")
-    gone = lambda i: F.exists("runs", lambda r: (i >= r["line"]) & (i <= r["last"]))
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~gone(i)), "\n")
+    rest = F.array_join(let(F.split(text, "\n"), lambda x: _rest(x, F.col("runs"))), "\n")
     count = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["line"] + 1)
     added = {
         "n_lines": F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long"),

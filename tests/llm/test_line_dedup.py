@@ -98,3 +98,51 @@ def test_words_of_lines(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     got = df.select("line", line_dedup._n_words(df["line"]).alias("n")).collect()
     assert {x.line: x.n for x in got} == {x: n_words(x) for x in lines}
+
+
+def brute_shortest(rows, least):
+    """The lines from first to last of each shortest run from or to a line that occurs earlier."""
+    own = {k: [(i, x) for i, x in enumerate((t or "").split("\n")) if n_words(x)] for k, (_, t) in enumerate(rows)}
+    gone, runs = {k: set() for k in own}, []
+    for k, lines in own.items():
+        words = [n_words(x) for _, x in lines]
+        found = {(a, min(b for b in range(a, len(lines)) if sum(words[a : b + 1]) >= least)) for a in range(len(lines)) if sum(words[a:]) >= least}
+        found |= {(max(a for a in range(b + 1) if sum(words[a : b + 1]) >= least), b) for b in range(len(lines)) if sum(words[: b + 1]) >= least}
+        runs += [(k, a, b, tuple(x for _, x in lines[a : b + 1])) for a, b in found]
+    first = {}
+    for k, a, _, content in sorted(runs):
+        first.setdefault(content, (k, a))
+    for k, a, b, content in runs:
+        if first[content] != (k, a):
+            gone[k] |= set(range(own[k][a][0], own[k][b][0] + 1))
+    return {d: ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]), len(gone[k])) for k, (d, t) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_many_shapes_of_runs(spark, seed):
+    """Few kinds of lines, blanks between them, runs that touch, overlap and contain each other."""
+    r = random.Random(seed)
+    kinds = ["", " ", *(" ".join(r.choices("xyz", k=r.randint(1, 9))) for _ in range(5))]
+    rows = [(k, "\n".join(r.choices(kinds, k=r.randint(0, 40)))) for k in range(12)]
+    least = r.choice([3, 5, 9, 20])
+    got = {x.doc_id: (x.text, x.n_deleted, [(y.line, y.last) for y in x.runs or ()]) for x in dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=least).collect()}
+    assert {d: g[:2] for d, g in got.items()} == brute_shortest(rows, least)
+    for _, total, runs in got.values():
+        assert total == sum(b - a + 1 for a, b in runs) and all(y[0] > x[1] + 1 for x, y in zip(runs, runs[1:], strict=False))
+
+
+def test_one_line_many_times(spark):
+    """Copies that overlap the first one go as well: of a line many times over, the first is left."""
+    got = dedup(spark.createDataFrame([(1, "\n".join(["a"] * 100))], "doc_id bigint, text string"), min_words=20).first()
+    assert (got.text, got.n_deleted, [tuple(x) for x in got.runs]) == ("a", 99, [(1, 99, 1, 0)])
+
+
+def test_long_documents(spark):
+    """Two equal documents of 50,000 lines: work grows with the lines, not with their square."""
+    import time
+
+    lines = "\n".join(f"line {k} of this text" for k in range(50_000))
+    began = time.perf_counter()
+    got = {x.doc_id: x for x in dedup(spark.createDataFrame([(1, lines), (2, lines)], "doc_id bigint, text string")).collect()}
+    assert got[1].text == lines and got[2].text == "" and got[2].n_deleted == 50_000
+    assert time.perf_counter() - began < 120
