@@ -4,9 +4,9 @@ import logging
 
 from .builder import QueryBuilder
 from .errors import FieldNotFound
-from .functions.predicates import predicate
+from .functions.predicates import CLASSES, Predicate, predicate
 from .operators.filters import FilterBuilder
-from .operators.grouping import DateGranularity, GroupByConfig, GroupedResponse, GroupResult
+from .operators.grouping import DateGranularity, GroupByConfig, GroupedResponse, GroupKeyExtractor, GroupResult
 from .operators.nesting import Record
 from .operators.paging import PaginationInfo
 from .settings import Settings, settings
@@ -14,8 +14,11 @@ from .sources.catalog import Catalog, Entity, Relation, dataframe, jdbc, parquet
 from .spec import FieldSelection, JoinType, PaginatedResponse, QuerySpec
 
 __all__ = [
-    "Catalog", "DateGranularity", "Entity", "FieldNotFound", "FieldSelection", "FilterBuilder", "GroupByConfig", "GroupResult", "GroupedResponse", "JoinType", "PaginatedResponse", "PaginationInfo",
-    "QueryBuilder", "QuerySpec", "Record", "Relation", "Settings", "dataframe", "jdbc", "parquet", "predicate", "settings",
+    "Catalog", "DateGranularity", "Entity", "FieldNotFound", "FieldSelection", "FilterBuilder", "GroupByConfig", "GroupKeyExtractor", "GroupResult", "GroupedResponse", "JoinType", "PaginatedResponse", "PaginationInfo",
+    "Predicate", "QueryBuilder", "QuerySpec", "Record", "Relation", "Settings", "dataframe", "jdbc", "parquet", "predicate", "settings",
+    *CLASSES,
 ]
 
+globals().update(CLASSES)  # a class for each operator: EqualPredicate and so on
+
 logging.getLogger(__name__).setLevel(settings.LOG_LEVEL)

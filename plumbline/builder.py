@@ -89,6 +89,13 @@ class QueryBuilder:
         df = plan.page(self.limit, self.offset)
         return df.select(*(F.col(f"`{a}`").alias(b.replace(".", separator)) for a, b in plan.selected()))
 
+    def exec_df(self, separator: str = ".") -> DataFrame:
+        """The distinct flat rows of the page, in the order of their first ones."""
+        flat = self.flat_df(separator)
+        if len(set(flat.columns)) < len(flat.columns):
+            raise ValueError("the columns need distinct names")
+        return flat.withColumn("_at", F.monotonically_increasing_id()).groupBy(*(F.col(f"`{c}`") for c in flat.columns)).agg(F.min("_at").alias("_at")).orderBy("_at").drop("_at")
+
     def nested_df(self) -> DataFrame:
         """A row for each object of the page, relations as structs and arrays of structs."""
         plan = self.plan()

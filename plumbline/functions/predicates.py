@@ -5,6 +5,7 @@ leaves no trace. Wildcards in patterns are live; backslashes are themselves."""
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
@@ -120,3 +121,39 @@ for _name, _not, _shape, _fold in (("matches", "does_not_match", "v", False), ("
     _yes, _no = _like(_shape, fold_case=_fold), _like(_shape, fold_case=_fold, negate=True)
     registry |= {_name: _yes, f"{_name}_any": _each(_yes, fold_any), f"{_name}_all": _each(_yes, fold_all)}
     registry |= {_not: _no, f"{_not}_any": _each(_no, fold_all), f"{_not}_all": _each(_no, fold_any)}
+
+
+class Predicate(ABC):
+    """A predicate as a class: subclasses with a ``name`` are registered under it, as by ``predicate``.
+
+    The value comes in the column's type, as far as it can be one."""
+
+    name: str = ""
+
+    def __init_subclass__(cls) -> None:
+        super().__init_subclass__()
+        if cls.name:
+            registry[cls.name] = lambda column, kind, value: cls().apply(column, value)
+
+    @abstractmethod
+    def apply(self, column: Column, value: Any) -> Column | None:
+        """The condition; None: there is none."""
+
+
+#: Operators whose classes have longer names than the operator itself.
+LONGER = {"eq": "equal", "ne": "not_equal", "gt": "greater_than", "lt": "less_than", "gte": "greater_than_or_equal", "lte": "less_than_or_equal", "cont": "contains", "nin": "not_in"}
+
+
+def _built_in(name: str, test: Test) -> type[Predicate]:
+    """A class for a predicate that is there already, which stays as it is."""
+
+    def apply(self: Predicate, column: Column, value: Any, kind: DataType = StringType()) -> Column | None:  # noqa: B008 - types hold no state
+        return test(column, kind, value)
+
+    made = type("".join(x.capitalize() for x in LONGER.get(name, name).split("_")) + "Predicate", (Predicate,), {"apply": apply, "__doc__": f"The operator {name}.", "__module__": __name__})
+    made.name = name
+    return made
+
+
+#: EqualPredicate, ..., NotIContAllPredicate: a class for each of the operators above.
+CLASSES: dict[str, type[Predicate]] = {c.__name__: c for c in (_built_in(n, t) for n, t in list(registry.items()))}

@@ -7,6 +7,7 @@ from typing import Any
 
 from pydantic import BaseModel, field_validator, model_validator
 from pyspark.sql import Column
+from pyspark.sql.types import DataType, TimestampNTZType
 
 from ..functions.datekeys import ZONES, date_key
 from ..settings import settings
@@ -64,8 +65,18 @@ class GroupByConfig(BaseModel):
     def key(self, catalog: Catalog, entity: Entity) -> tuple[Column, tuple[str, ...]]:
         """The key's expression and the relation path that it needs. Zones mean nothing without a granularity."""
         steps, target, name = catalog.resolve(entity, self.field)
-        column = qualified(steps, name)
-        return (date_key(column, catalog.type_of(target, name), self.granularity, self.offset_hours()) if self.granularity else column), steps
+        return GroupKeyExtractor().get_group_key_expression(qualified(steps, name), self, catalog.type_of(target, name)), steps
+
+
+class GroupKeyExtractor:
+    """Key expressions for columns. A database's dialect makes no difference."""
+
+    def __init__(self, dialect: str | None = None):
+        self.dialect = dialect
+
+    def get_group_key_expression(self, column: Column, config: GroupByConfig, kind: DataType | None = None) -> Column:
+        """The column itself, or for dates and times (``kind``; without a zone if not given) its text key."""
+        return date_key(column, kind or TimestampNTZType(), config.granularity, config.offset_hours()) if config.is_date_grouping else column
 
 
 class GroupResult(BaseModel):

@@ -7,6 +7,8 @@ left out."""
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,17 @@ class Record(dict):
             raise AttributeError(name) from None
 
 
+def _same(value: Any) -> Any:
+    """A hashable stand-in, equal for what Spark takes for equal: not-a-number is itself, lists and records are their contents."""
+    if isinstance(value, dict):
+        return tuple((k, _same(v)) for k, v in value.items())
+    if isinstance(value, list | tuple):
+        return tuple(map(_same, value))
+    if isinstance(value, bytearray):
+        return bytes(value)
+    return "not a number" if isinstance(value, float) and value != value else value
+
+
 def nest(rows: Iterable[Any], root: Node) -> list[Record]:
     """rows: with a column for each selected field and each key, by qualified name."""
     rows = list(rows)
@@ -48,7 +61,7 @@ def nest(rows: Iterable[Any], root: Node) -> list[Record]:
         for record, inner in found.values():
             for name, child in node.children.items():
                 objects = finish(child, inner[name])
-                distinct = [x for k, x in enumerate(objects) if x not in objects[:k]] if len(objects) < 50 else list({repr(x): x for x in reversed(objects)}.values())[::-1]
+                distinct = list({_same(x): x for x in reversed(objects)}.values())[::-1]
                 record[name] = distinct if child.relation.many else distinct[0] if distinct else None
             out.append(record)
         return out
@@ -66,33 +79,63 @@ def plain(value: Any) -> Any:
 
 
 def nested_frame(flat: DataFrame, root: Node) -> DataFrame:
-    """The same as a DataFrame: a column for each selected field and relation, rows in the order of the flat ones."""
-    rows = flat.withColumn("_at", F.monotonically_increasing_id())
+    """The same as a DataFrame: a column for each selected field and relation, rows in the order of the flat ones.
 
-    def any_value(node: Node) -> Column:
+    The flat rows are read once and dealt once, by the root's key. Each stands for an object of every node: rows of objects are
+    made distinct, then, from the deepest nodes up, gathered in their parents; the dealing holds for all of these groups."""
+    nodes = list(root.walk())
+    keys = [[f"_k{m}_{i}" for i in range(len(node.entity.pk))] for m, node in enumerate(nodes)]
+    number = {node.steps: m for m, node in enumerate(nodes)}
+    below = [[k for k, other in enumerate(nodes) if other.steps[: len(node.steps)] == node.steps] for node in nodes]
+    every = [k for own in keys for k in own]
+
+    def is_one(node: Node) -> Column:
         test = F.lit(not node.fields)
         for f in node.fields:
             test = test | F.col(f"`{node.column(f)}`").isNotNull()
         return test
 
-    def objects(node: Node, above: list[str]) -> tuple[DataFrame, list[str]]:
-        """Keys of the parents and of the node, _at and _object: a row for each object."""
-        keys = above + [node.column(k) for k in node.entity.pk if node.column(k) not in above]
-        named = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
-        own = [F.first(F.col(f"`{node.column(f)}`")).alias(f"_f{i}") for i, f in enumerate(node.fields)]
-        found = rows.where(any_value(node)).groupBy(*named).agg(F.min("_at").alias("_at"), *own)
-        parts = [F.col(f"_f{i}").alias(f) for i, f in enumerate(node.fields)]
-        for n, (name, child) in enumerate(node.children.items()):
-            inner, _ = objects(child, keys)
-            in_order = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col("_object").alias("o")))), lambda x: x["o"])
-            lists = inner.groupBy(*(F.col(f"_k{i}").alias(f"_j{i}") for i in range(len(keys)))).agg(F.array_distinct(in_order).alias(f"_c{n}"))
-            same = F.lit(True)
-            for i in range(len(keys)):
-                same = same & F.col(f"_k{i}").eqNullSafe(F.col(f"_j{i}"))
-            found = found.join(lists, same, "left").drop(*(f"_j{i}" for i in range(len(keys))))
-            many = F.coalesce(F.col(f"_c{n}"), F.array().cast(lists.schema[f"_c{n}"].dataType))
-            parts.append((many if child.relation.many else F.get(F.col(f"_c{n}"), 0)).alias(name))
-        out = F.struct(*parts) if parts else F.struct(F.lit(None).cast("void").alias("_none"))
-        return found.select(*(f"_k{i}" for i in range(len(keys))), "_at", out.alias("_object")), keys
-
-    return objects(root, [])[0].orderBy("_at").select("_object.*")
+    def own(node: Node) -> Column:
+        """The node's fields, if it and all above it are objects."""
+        test = is_one(root)
+        for k in range(1, len(node.steps) + 1):
+            test = test & is_one(nodes[number[node.steps[:k]]])
+        return F.when(test, F.struct(*(F.col(f"`{node.column(f)}`").alias(f) for f in node.fields) if node.fields else (F.lit(None).cast("void").alias("_none"),)))
+
+    named = [F.col(f"`{node.column(k)}`").alias(name) for node, names in zip(nodes, keys, strict=True) for k, name in zip(node.entity.pk, names, strict=True)]
+    rows = flat.withColumn("_at", F.monotonically_increasing_id()).select("_at", *named, *(own(node).alias(f"_v{m}") for m, node in enumerate(nodes)))
+    dealt = rows.repartition(*keys[0]).withColumn("_n", F.explode(F.array(*map(F.lit, range(len(nodes))))))
+    n = F.col("_n")
+
+    # The keys of the nodes on the way to that of the row; others are null.
+    masked = [F.when(n.isin(below[m]), F.col(k)).alias(k) if m else F.col(k) for m, names in enumerate(keys) for k in names]
+    values = [f"_v{m}" for m in range(len(nodes))]
+    found = dealt.select("_n", "_at", *masked, *(F.when(n == m, F.col(v)).alias(v) for m, v in enumerate(values))).where(reduce(or_, (F.col(v).isNotNull() for v in values)))
+    found = found.groupBy("_n", *every, *values).agg(F.min("_at").alias("_at"))
+    if not all(node.entity.unique for node in nodes):  # of the rows of one key, the first's fields
+        found = found.groupBy("_n", *every).agg(*(F.min_by(v, "_at").alias(v) for v in values), F.min("_at").alias("_at"))
+
+    def built(m: int) -> list[Column]:
+        """The fields and children of a row's object."""
+        node = nodes[m]
+        parts = [F.col(f"_v{m}")[f].alias(f) for f in node.fields]
+        for name, child in node.children.items():
+            listed = F.transform(F.array_sort(f"_l{number[child.steps]}"), lambda x: x["o"])
+            parts.append((listed if child.relation.many else F.get(listed, 0)).alias(name))
+        return parts
+
+    for depth in range(max(len(node.steps) for node in nodes), 0, -1):
+        here = [m for m, node in enumerate(nodes) if len(node.steps) == depth]
+        above = [m for m, node in enumerate(nodes) if len(node.steps) < depth]
+        parent = n
+        for m in here:
+            parent = F.when(n == m, number[nodes[m].steps[:-1]]).otherwise(parent)
+        moved = n.isin(here)
+        # An object becomes a child of its parent's key; the others stay.
+        objects = [F.when(n == m, F.struct(*built(m)) if built(m) else F.struct(F.lit(None).cast("void").alias("_none"))).alias(f"_o{m}") for m in here]
+        kept = [k for m in above for k in keys[m]]
+        step = found.select(parent.alias("_n"), *kept, F.when(~moved, F.col("_at")).alias("_at"), F.when(moved, F.col("_at")).alias("_child"), *(f"_v{m}" for m in above), *objects)
+        step = step.groupBy("_n", *kept, *(f"_v{m}" for m in above), *(f"_o{m}" for m in here)).agg(F.min("_at").alias("_at"), F.min("_child").alias("_child"))
+        gathered = [F.collect_list(F.when(F.col(f"_o{m}").isNotNull(), F.struct("_child", F.col(f"_o{m}").alias("o")))).alias(f"_l{m}") for m in here]
+        found = step.groupBy("_n", *kept).agg(F.min("_at").alias("_at"), *(F.min_by(f"_v{m}", "_at").alias(f"_v{m}") for m in above), *gathered)
+    return found.orderBy("_at").select(*(built(0) or [F.lit(None).cast("void").alias("_none")]))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import FieldNotFound
-from ..functions.predicates import fold_all
 from ..operators.filters import Condition, FilterBuilder, Resolver
 from ..operators.selection import Node, tree
 from ..operators.sorting import SortKey, sort_keys
@@ -90,16 +89,44 @@ class Planner:
             df = df.where(c.test)
         return self._existing(df, far, there) if far else df
 
+    def entity_at(self, steps: Steps) -> Entity:
+        own = self.entity
+        for step in steps:
+            _, own = self.catalog.related(own, step)
+        return own
+
     def _existing(self, df: DataFrame, far: list[Condition], there: set[Steps]) -> DataFrame:
-        """Rows for which the relations that are not selected have a row that meets all of the conditions."""
+        """Rows for which the relations that are not selected have a row that meets all of the conditions.
+
+        Below each relation that leaves what is there, one semi-join; conditions that need several of them at once are
+        tested on rows of the root joined with all of these."""
+        groups: list[tuple[set[Steps], list[Condition]]] = []
+        for c in far:
+            tops = {next(p[:k] for k in range(1, len(p) + 1) if p[:k] not in there) for p in c.paths - there}
+            met = [g for g in groups if g[0] & tops]
+            groups = [g for g in groups if not g[0] & tops] + [(tops.union(*(g[0] for g in met)), [*(x for g in met for x in g[1]), c])]
+        for tops, conditions in groups:
+            df = self._below(df, *tops, conditions) if len(tops) == 1 else self._several(df, conditions, there)
+        return df
+
+    def _below(self, df: DataFrame, top: Steps, conditions: list[Condition]) -> DataFrame:
+        """df semi-joined with the relation at top, of whose parent df has the columns, and those below it."""
+        link, target = self.catalog.related(self.entity_at(top[:-1]), top[-1])
+        other, above, path = self.qualified(target, ".".join(top)), ".".join(top[:-1]) or "$", ".".join(top)
+        for steps in sorted({p[:k] for c in conditions for p in c.paths for k in range(len(top) + 1, len(p) + 1) if p[: len(top)] == top}, key=lambda p: (len(p), p)):
+            other = self.joined(other, steps, "inner")
+        on = [F.col(f"`{above}.{a}`") == F.col(f"`{path}.{b}`") for a, b in link.on]
+        return df.join(other, [*on, *(c.test for c in conditions)], "left_semi")
+
+    def _several(self, df: DataFrame, far: list[Condition], there: set[Steps]) -> DataFrame:
         paths = {p for c in far for p in c.paths if p not in there}
         other = self.along(paths)
         steps = {p[:k] for p in paths for k in range(1, len(p) + 1)}
         shared = {f"{'.'.join(s) or '$'}." for s in there if s in steps or s == ()}
         mine = [c for c in other.columns if not any(c.startswith(p) and "." not in c[len(p) :] for p in shared)]
         # The same root and, along a path that is partly selected, the same selected objects.
-        nodes = [node for node in self.root.walk() if not node.steps or node.steps in steps]
-        keys = [(node.column(k), f"_key.{node.column(k)}") for node in nodes for k in node.entity.pk]
+        own = [s for s in there if not s or s in steps]
+        keys = [(name, f"_key.{name}") for s in own for name in (f"{'.'.join(s) or '$'}.{k}" for k in self.entity_at(s).pk)]
         other = other.select(*(F.col(f"`{a}`").alias(b) for a, b in keys), *(F.col(f"`{c}`") for c in mine))
         on = [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in keys]
         return df.join(other, [*on, *(c.test for c in far)], "left_semi")
@@ -126,14 +153,16 @@ class Planner:
         return [(node.column(f), f if not node.steps else f"{node.path}.{f}") for node in self.root.walk() for f in node.fields]
 
     def matching(self, *more: Steps) -> DataFrame:
-        """Root rows joined along the conditions' and further paths, that meet the conditions; joins of the selection have no part in it."""
-        df = self.along([*(p for c in self.conditions for p in c.paths), *(s for s in more if s)])
-        test = fold_all(c.test for c in self.conditions)
-        return df if test is None else df.where(test)
+        """Root rows joined along further paths, that meet the conditions; joins of the selection have no part in it."""
+        df = self.along(s for s in more if s)
+        there = {(), *(s[:k] for s in more for k in range(1, len(s) + 1))}
+        for c in self.conditions:
+            df = df.where(c.test) if c.paths <= there else df
+        far = [c for c in self.conditions if not c.paths <= there]
+        return self._existing(df, far, there) if far else df
 
     def distinct_roots(self, *more: Steps) -> Column:
         """Counts the roots among rows of matching()."""
-        paths = [p for c in self.conditions for p in c.paths] + [s for s in more if s]
-        if self.entity.unique and all(self._to_one(p) for p in paths):
+        if self.entity.unique and all(self._to_one(s) for s in more if s):
             return F.count(F.lit(1))
         return F.count_distinct(*(F.col(f"`$.{k}`") for k in self.entity.pk))

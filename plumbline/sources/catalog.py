@@ -11,6 +11,10 @@ from pyspark.sql.types import DataType
 from ..errors import FieldNotFound
 
 
+#: Spark's setting for the rows (offset and limit) up to which a sorted page is kept in memory, and the most that a catalog leaves it at.
+TOP_K, MOST_TOP_K = "spark.sql.execution.topKSortFallbackThreshold", 100_000
+
+
 @dataclass(frozen=True)
 class Relation:
     """An equi-join to another entity: pairs of (own column, its column); ``many``: it may have several rows for one."""
@@ -39,6 +43,9 @@ class Catalog:
     def __init__(self, spark: SparkSession, *entities: Entity):
         self.spark, self.entities = spark, {e.name: e for e in entities}
         self._frames: dict[str, DataFrame] = {}
+        # A page far down a result is sorted on disk instead of held, offset and all, in memory.
+        if int(spark.conf.get(TOP_K)) > MOST_TOP_K:
+            spark.conf.set(TOP_K, str(MOST_TOP_K))
 
     def entity(self, entity: str | Entity) -> Entity:
         name = entity if isinstance(entity, str) else entity.name
@@ -81,9 +88,22 @@ def parquet(path: str) -> Callable[[SparkSession], DataFrame]:
     return lambda spark: spark.read.parquet(path)
 
 
-def jdbc(url: str, table: str, **options: str) -> Callable[[SparkSession], DataFrame]:
-    """A database's table; its predicates and columns are pushed down. Give partitionColumn and bounds for large ones."""
-    return lambda spark: spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def jdbc(url: str, table: str, partition_column: str | None = None, partitions: int = 32, **options: str) -> Callable[[SparkSession], DataFrame]:
+    """A database's table; predicates and columns are pushed down to it.
+
+    With a ``partition_column`` (a number, date or time) it is read in so many parts, whose bounds the database is asked for; without
+    one, or for a table that has no value in it, by a single task."""
+
+    def load(spark: SparkSession) -> DataFrame:
+        read = spark.read.format("jdbc").options(url=url, **options)
+        if partition_column and "lowerBound" not in options:
+            column = f"{partition_column}"
+            low, high = read.option("dbtable", f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}) bounds").load().first()
+            if low is not None:
+                read = read.options(partitionColumn=partition_column, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))
+        return read.option("dbtable", table).load()
+
+    return load
 
 
 def dataframe(df: DataFrame) -> Callable[[SparkSession], DataFrame]:

@@ -21,7 +21,8 @@ def tables(spark: SparkSession, folder: str) -> Catalog:
 
     def orders(session: SparkSession) -> DataFrame:
         df = at("orders")(session)
-        return df.withColumn("is_open", F.col("o_orderstatus") == "O").withColumn("o_day", F.col("o_orderdate").cast("date"))
+        more = {"is_open": F.col("o_orderstatus") == "O", "o_day": F.col("o_orderdate").cast("date"), "o_code": F.translate("o_orderpriority", "-", "\\")}
+        return df.withColumns(more)
 
     return Catalog(
         spark,
