@@ -8,10 +8,12 @@
 3. Candidates are confirmed on the full sets; confirmed links give components.
 4. A link between two nodes neither of which was a centre would be missed. So buckets that still hold several
    components are looked at again. A node can have a link to another component only if enough of its shingles
-   occur in other components; the others are done. Of the rest, pairs of different components are
+   occur in other components, for the size of some node of another component in its bucket; the others are done. Of the rest,
+   each bucket takes another centre, for ``STARS`` rounds or until no link is found: m - 1 candidates again.
+   What is then left is listed: pairs of different components are
    candidates if the shingles that other components have too, counted by groups of hashes, are enough for a
    link: a pair's intersection is at most the sum of the smaller counts of each group. These bounds are
-   exact. A pair that shares many buckets is a candidate in the first of them only.
+   exact, so no link within a bucket is lost. A pair that shares many buckets is a candidate in the first of them only.
 
 A band has as many rows as leave two sets at the threshold without a common bucket with a probability of
 1e-6 at most: at 0.85, 42 bands of 6 rows leave 2e-9. No list of the
@@ -42,7 +44,9 @@ ATTEMPTS = 64
 #: Groups of hashes in which shingles are counted for bounds.
 GROUPS = 32
 #: Candidates whose ids may be broadcast to read their texts again; more are joined by a shuffle.
-BROADCAST_NODES = 1 << 20
+BROADCAST_NODES = 1 << 18
+#: Further rounds of stars before what is left is listed.
+STARS = 2
 
 
 def rows_for(percent: int, bands: int = BANDS, miss: float = 1e-6) -> int:
@@ -174,31 +178,62 @@ class NearDuplicates:
         several = rows.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
         return rows.join(self.scratch.cut(several, "several"), ["band", "key"], "left_semi")
 
-    def viable(self, live: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """node, comp, n, counts (shingles that another component has, by group) of nodes that may have a link to another component."""
-        at = live.join(sets, "node").select("node", "comp", "n", F.explode("set").alias("h"))
+    def viable(self, rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """band, key, node, n, comp, avail and counts (shingles that another component has, in all and by group) of the rows of buckets
+        whose node may have a link to another component there; in buckets of several components."""
+        at = rows.select("node", "comp", "n").distinct().join(sets, "node").select("node", "comp", "n", F.explode("set").alias("h"))
         shared = at.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
         group = F.pmod(F.col("h"), F.lit(GROUPS))
         counts = F.array(*(F.count(F.when(group == k, F.lit(1))).cast("int") for k in range(GROUPS))).alias("counts")
-        found = at.join(self.scratch.cut(shared, f"{name}-shared"), "h").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("avail"), counts)
-        return self.scratch.cut(found.where(100 * F.col("avail") >= self.percent * F.col("n")), name)
-
-    def across(self, buckets: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-        """Candidate pairs of different components that share a bucket."""
-        rows = self.unresolved(buckets, comps)
-        live = self.scratch.cut(rows.select("node", "comp", "n").distinct(), "live")
+        found = at.join(self.scratch.cut(shared, f"{name}-shared"), "h").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("avail"), counts)
+        live = self.scratch.cut(found.where(self.enough(F.col("avail"), F.col("n"), F.col("avail"))).drop("n"), f"{name}-live")
+        rows = self.scratch.cut(rows.select("band", "key", "node", "n", "comp").join(live.select("node", "avail"), "node"), f"{name}-rows")
         for k in range(2):
-            live = self.viable(live, sets, f"viable{k}")
-        info = live.join(self.nodes.select("node", "keys"), "node")
-        left = buckets.select("band", "key", "node").join(info.drop("n", "avail").join(live.select("node", "n", "avail"), "node"), "node")
-        rows = self.scratch.cut(left, "rows")
+            # An intersection is at most avail: the smallest node of the bucket shows whether it may be enough.
+            least = rows.groupBy("band", "key").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key", "least")
+            fits = rows.join(self.scratch.cut(least, f"{name}-least{k}"), ["band", "key"]).where(self.enough(F.col("avail"), F.col("n"), F.col("least"))).drop("least")
+            rows = self.scratch.cut(fits, f"{name}-fits{k}")
+        return self.scratch.cut(rows.join(live.select("node", "counts"), "node"), name)
+
+    def possible(self, x: Callable, y: Callable) -> Column:
+        """Whether the bounds leave a link between two rows of viable(): of different components and sizes near enough."""
+        total = F.aggregate(F.zip_with(x("counts"), y("counts"), lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+        return (x("comp") != y("comp")) & self.enough(F.least(x("avail"), y("avail")), x("n"), y("n")) & self.enough(total, x("n"), y("n"))
+
+    def again(self, rows: DataFrame, k: int) -> DataFrame:
+        """Candidate pairs of each bucket's rows with another centre, of those that are viable."""
+        parts = ("node", "n", "comp", "avail", "counts")
+        centre = F.min(F.struct(F.xxhash64("node", "band", F.lit(k)).alias("by"), *parts)).alias("centre")
+        centres = self.scratch.cut(rows.groupBy("band", "key").agg(centre), f"centres{k}")
+        pairs = rows.join(centres, ["band", "key"]).where(self.possible(F.col, lambda c: F.col(f"centre.{c}")))
+        return pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """Candidate pairs of different components that share a bucket, all that the bounds leave."""
+        rows = self.scratch.cut(rows.join(self.nodes.select("node", "keys"), "node"), "rows")
         a, b = rows.alias("a"), rows.alias("b")
         x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-        total = F.aggregate(F.zip_with(x("counts"), y("counts"), lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
         first = F.array_position(F.zip_with(x("keys"), y("keys"), lambda p, q: p == q), True)
-        on = (x("band") == y("band")) & (x("key") == y("key")) & (x("comp") < y("comp")) & self.enough(F.least(x("avail"), y("avail")), x("n"), y("n")) & (first == x("band") + 1) & self.enough(total, x("n"), y("n"))
+        on = (x("band") == y("band")) & (x("key") == y("key")) & (x("comp") < y("comp")) & self.enough(F.least(x("avail"), y("avail")), x("n"), y("n")) & (first == x("band") + 1) & self.possible(x, y)
         return a.join(b, on).select(x("node").alias("a"), y("node").alias("b"))
 
+    def merged(self, links: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+        """Components with further links."""
+        return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(self._between(links, comps)), self.scratch, name)
+
+    def rest(self, buckets: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+        """Components with the links that the first stars have missed."""
+        for k in range(STARS + 1):
+            rows = self.viable(self.unresolved(buckets, comps), sets, f"viable{k}")
+            if rows.isEmpty():
+                return comps
+            links = self.confirmed(self.again(rows, k + 1) if k < STARS else self.across(rows), sets, f"more{k}")
+            if links.isEmpty() and k < STARS:  # the same components, so the same rows: they are listed now
+                links = self.confirmed(self.across(rows), sets, f"listed{k}")
+                return comps if links.isEmpty() else self.merged(links, comps, f"all{k}")
+            comps = self.merged(links, comps, f"all{k}")
+        return comps
+
     def run(self) -> DataFrame:
         buckets = self.buckets()
         sets = self.sets(buckets.select("node").distinct())
@@ -206,8 +241,7 @@ class NearDuplicates:
         stars = buckets.where((F.col("node") != F.col("centre")) & near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         links = self.confirmed(stars, sets, "links")
         comps = components(links, self.scratch, "stars")
-        more = self.confirmed(self.across(buckets, comps, sets), sets, "more")
-        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(self._between(more, comps)), self.scratch, "all")
+        comps = self.rest(buckets, comps, sets)
         of_node = self.nodes.join(comps, "node", "left").select("node", "c1", "c2", "doc", F.coalesce("comp", "node").alias("comp"))
         least = of_node.groupBy("comp").agg(F.min("doc").alias("component_id"))
         named = self.scratch.cut(of_node.join(least, "comp").select("c1", "c2", "component_id"), "named")

@@ -115,3 +115,35 @@ def test_word_hashes():
 
 def test_rows_of_bands():
     assert [minhash.rows_for(p) for p in (95, 85, 80, 60)] == [6, 6, 5, 2]
+
+
+def bucket_of(spark, sets, comps):
+    """A run whose nodes all share one bucket, with these sets and components."""
+    run = object.__new__(minhash.NearDuplicates)
+    run.percent, run.scratch = 85, Scratch(spark, "test")
+    nodes = [(k, len(s)) for k, s in enumerate(sets)]
+    run.nodes = run.scratch.cut(spark.createDataFrame([(k, n, [7]) for k, n in nodes], "node bigint, n bigint, keys array<bigint>"), "nodes")
+    buckets = run.scratch.cut(spark.createDataFrame([(0, 7, k, n) for k, n in nodes], "band int, key bigint, node bigint, n bigint"), "buckets")
+    own = run.scratch.cut(spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "node bigint, set array<bigint>"), "sets")
+    return run, buckets, spark.createDataFrame(list(enumerate(comps)), "node bigint, comp bigint"), own
+
+
+@pytest.mark.parametrize("common", [70, 86, 91])
+def test_a_bucket_of_many_components(spark, common, monkeypatch):
+    """5,000 nodes in 500 components without a link between them: candidates are no square of the nodes."""
+    seen = []
+    confirmed = minhash.NearDuplicates.confirmed
+    monkeypatch.setattr(minhash.NearDuplicates, "confirmed", lambda self, pairs, sets, name: (seen.append(pairs.count()), confirmed(self, pairs, sets, name))[1])
+    sets = [set(range(common)) | {1000 * (k // 10 + 1) + j for j in range(100 - common)} for k in range(5000)]
+    run, buckets, comps, own = bucket_of(spark, sets, [k // 10 * 10 for k in range(5000)])
+    got = run.rest(buckets, comps, own)
+    assert sum(seen) < 20 * 5000
+    assert {(r.node, r.comp) for r in got.collect()} == {(k, k // 10 * 10) for k in range(5000)}
+
+
+def test_links_that_no_centre_has(spark):
+    """A chain of sets in one bucket, of which each is linked with its neighbours alone; all its links are found."""
+    sets = [set(range(4 * k, 4 * k + 100)) for k in range(60)] + [set(range(10_000 + k, 10_100 + k)) for k in range(0, 90, 30)]
+    run, buckets, comps, own = bucket_of(spark, sets, range(len(sets)))
+    got = {r.node: r.comp for r in run.rest(buckets, comps, own).collect()}
+    assert {got.get(k, k) for k in range(60)} == {0} and [got.get(k, k) for k in (60, 61, 62)] == [60, 61, 62]
