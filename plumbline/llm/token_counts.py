@@ -8,12 +8,14 @@ questions of truncation and budget without encoding again: the count of any pref
 the longest prefix within a budget is searched for.
 
 Texts are cut into chunks (white space and what follows up to the next) that are pre-tokenized on
-their own, since no pre-token reaches from other characters into white space; tables of chunks are
-kept from one text to the next. One scan, no shuffle.
+their own, since no pre-token reaches from other characters into white space. Of each chunk the counts at all its prefixes are
+stored and kept from one text to the next; a text's count is the sum of its chunks' last ones, and the longest prefix
+within a limit is looked up in the chunk in which the limit is reached. One scan, no shuffle.
 
 Defined results: null and empty texts have 0 tokens and 0 bytes; a null id is passed through;
-repeated rows give repeated rows; other columns are not read; an empty table gives an empty result.
-A special token's string in a text counts as one token, as is the library's default.
+repeated rows give repeated rows; other columns, whatever their names, are not read; an empty table gives an empty result; long texts, also without any
+break, take time in proportion to their length; of prefixes with equally many tokens the longest is the one within a limit.
+A special token's string in a text counts as one token, as is the library's default. A tokenizer with settings that are not counted here is refused.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ CHUNK = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 LEADING = re.compile(f"[{WS}]*")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each table that a worker keeps at most; beyond, it starts anew. Results don't depend on it.
-KEEP = 700_000
+KEEP = 500_000
+#: Longer chunks' counts are made anew each time: few are found again.
+LONG = 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,6 +59,10 @@ class PrefixCounter:
         model, pre = d["model"], d["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or d["normalizer"] or not pre.get("use_regex", True):
             raise ValueError("a byte-level BPE without normalizer and prefix space is asked for")
+        odd = [k for k in ("dropout", "ignore_merges", "byte_fallback", "fuse_unk", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+        odd += [f"{k} of {x['content']}" for x in d["added_tokens"] for k in ("lstrip", "rstrip", "single_word") if x.get(k)]
+        if odd:
+            raise ValueError(f"settings that counts don't follow: {', '.join(odd)}")
         letters = byte_letters()
         to_bytes = lambda s: bytes(letters[c] for c in s)
         special = [x["content"] for x in d["added_tokens"]]
@@ -77,8 +85,9 @@ class PrefixCounter:
         self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in found.items()}
         self.pre = regex.compile(PATTERN).findall
         self.apart: dict[int, bool] = {}
-        self.pieces: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
+        #: The counts at all prefixes of a pre-token and of a chunk, by code points: bytes if they are small.
+        self.pieces: dict[str, bytes | list[int]] = {}
+        self.chunks: dict[str, bytes | list[int]] = {}
 
     def stays_apart(self, a: int, b: int) -> bool:
         """Whether encoding token a's string followed by b's gives these two again.
@@ -117,32 +126,48 @@ class PrefixCounter:
                     break
         return count
 
+    def word(self, word: str) -> bytes | list[int]:
+        """The counts of word[:0], word[:1], ... of a pre-token, by code points, stored."""
+        if (table := self.pieces.get(word)) is None:
+            raw = word.encode()
+            table = self.prefixes(raw)
+            if len(raw) > len(word):
+                table = [c for c, b in zip(table, [*raw, 0], strict=True) if b & 0xC0 != 0x80]
+            if len(word) < LONG:
+                if len(self.pieces) > KEEP:
+                    self.pieces.clear()
+                table = self.pieces[word] = bytes(table) if table[-1] < 256 else table
+        return table
+
     def piece(self, word: str) -> int:
-        if (n := self.pieces.get(word)) is None:
-            if len(self.pieces) > KEEP:
-                self.pieces.clear()
-            n = self.pieces[word] = self.prefixes(word.encode())[-1]
-        return n
-
-    def chunk(self, chunk: str) -> int:
-        if (n := self.chunks.get(chunk)) is None:
-            if len(self.chunks) > KEEP:
-                self.chunks.clear()
-            n = sum(map(self.piece, self.pre(chunk)))
-            if len(chunk) < 200:
-                self.chunks[chunk] = n
-        return n
+        return self.word(word)[-1]
+
+    def chunk(self, chunk: str) -> bytes | list[int]:
+        """The counts of chunk[:0], chunk[:1], ...: by code points, stored."""
+        if (table := self.chunks.get(chunk)) is None:
+            table = self.chunk_prefixes(chunk)
+            if len(chunk) < LONG:
+                if len(self.chunks) > KEEP:
+                    self.chunks.clear()
+                table = self.chunks[chunk] = bytes(table) if isinstance(table, list) and table[-1] < 256 else table
+        return table
+
+    def count(self, chunk: str) -> int:
+        return self.chunk(chunk)[-1]
 
     def chunk_prefixes(self, chunk: str) -> list[int]:
-        """The counts of chunk[:0], chunk[:1], ...: by code points."""
-        blank = LEADING.match(chunk).end()
-        at_chars = lambda s: [c for c, b in zip(self.prefixes(s.encode()), [*s.encode(), 0], strict=True) if b & 0xC0 != 0x80]
-        out = at_chars(chunk[:blank])  # a text that ends in white space ends in one pre-token of it
+        words, blank = self.pre(chunk), LEADING.match(chunk).end()
+        if len(words) == 1 and (not blank or chunk[0] == " " and blank == 1 or blank == len(chunk)) and (words[0][0] != "'" or len(chunk) > 3):
+            return self.word(chunk)  # every part of it is one pre-token
+        out = [*self.word(chunk[:blank])] if blank else [0]  # a text that ends in white space ends in one pre-token of it
         before = done = 0
-        for word in self.pre(chunk):
-            counts = at_chars(word)
-            for k in range(1, len(word) + 1):
-                if done + k > blank:
+        for word in words:
+            counts = self.word(word)
+            first = max(1, blank - done + 1)
+            if word[0] != "'" or len(word) > 3:
+                out += [before + x for x in counts[first:]]
+            else:  # parts of a contraction may be two
+                for k in range(first, len(word) + 1):
                     part = word[:k]
                     out.append(before + (counts[k] if self.pre(part) == [part] else sum(map(self.piece, self.pre(part)))))
             before, done = before + counts[-1], done + len(word)
@@ -160,12 +185,12 @@ class PrefixCounter:
         """The chunks and special tokens of a text, with their counts."""
         if not self.special or not self.special.search(text):
             chunks = CHUNK.findall(text)
-            return chunks, list(map(self.chunk, chunks))
+            return chunks, list(map(self.count, chunks))
         chunks, counts = [], []
         for plain, special in self.segments(text):
             own = CHUNK.findall(plain)
             chunks += own + [special] * bool(special)
-            counts += [*map(self.chunk, own), *[1] * bool(special)]
+            counts += [*map(self.count, own), *[1] * bool(special)]
         return chunks, counts
 
     def table(self, text: str) -> list[int]:
@@ -174,15 +199,15 @@ class PrefixCounter:
         for plain, special in self.segments(text):
             chunks = CHUNK.findall(plain)
             for k, c in enumerate(chunks):
-                out += [base + x for x in self.chunk_prefixes(c)[1:]]
+                out += [base + x for x in self.chunk(c)[1:]]
                 if k + 1 < len(chunks) or not special:
-                    base += self.chunk(c)
+                    base += self.count(c)
             if special:  # cut short, its string is plain text that goes on from the last chunk
                 tail = chunks[-1] if chunks else ""
                 cut = tail + special[:-1]
                 for k in range(len(tail) + 1, len(cut) + 1):
-                    out.append(base + sum(map(self.chunk, CHUNK.findall(cut[:k]))))
-                base += (self.chunk(tail) if tail else 0) + 1
+                    out.append(base + sum(map(self.count, CHUNK.findall(cut[:k]))))
+                base += (self.count(tail) if tail else 0) + 1
                 out.append(base)
         return out
 
@@ -197,7 +222,7 @@ class PrefixCounter:
             skip = len(chunks[k - 1]) if k else 0
             inner = [sums[k - 2] if k > 1 else 0 for _ in (0,)][0]
             return chars + max((j - skip for j in range(skip, len(table)) if inner + table[j] <= budget), default=0)
-        inner = self.chunk_prefixes(chunks[k])
+        inner = self.chunk(chunks[k])
         return chars + max(j for j, x in enumerate(inner) if base + x <= budget)
 
 

@@ -73,3 +73,60 @@ def test_one_counter_for_each_vocabulary():
 
 def test_empty(empty):
     assert token_counts(empty, FILE).collect() == []
+
+
+def test_stored_prefixes_are_all_right(own, library):
+    """What is stored of each chunk that a text has, looked up by every prefix."""
+    r = random.Random(11)
+    for text in ODD + random_texts(300, seed=12) + ["it's", " 's", "'ll'd", "we'veX", "a'", "x''s", " '", "\t'll"]:
+        own.parts(text)
+    seen = [c for c in own.chunks if len(c) < 40]
+    for chunk in r.sample(seen, min(250, len(seen))) + ["'s", "'ll", "'", " 's", "\n've"]:
+        assert [*own.chunk(chunk)] == [library(chunk[:k]) for k in range(len(chunk) + 1)], chunk
+
+
+def test_budgets_are_looked_up(own, library):
+    from itertools import accumulate
+
+    for text in ODD + random_texts(200, seed=13):
+        chunks, counts = own.parts(text)
+        for budget in (0, 1, 3, 7):
+            got = own.longest_within(text, chunks, list(accumulate(counts)), budget)
+            assert got == max(k for k in range(len(text) + 1) if library(text[:k]) <= budget), (text, budget)
+
+
+@pytest.mark.parametrize("text", ["a" * 400_000, " " * 400_000 + "x", "\n" * 400_000, "!?" * 200_000, "7" * 400_000, "<|endoftext|>" * 30_000, "é" * 200_000])
+def test_long_texts(own, text):
+    """Time in proportion to the length, also for what fits into a limit."""
+    import time
+    from itertools import accumulate
+
+    began = time.perf_counter()
+    chunks, counts = own.parts(text)
+    assert 0 < own.longest_within(text, chunks, list(accumulate(counts)), 1024) < len(text)
+    assert time.perf_counter() - began < 60
+
+
+def test_other_settings_are_refused():
+    import json
+
+    for where, name, value in (("model", "ignore_merges", True), ("model", "dropout", 0.1), ("model", "byte_fallback", True), ("added", "lstrip", True), ("added", "single_word", True)):
+        d = json.loads(open(FILE, "rb").read())
+        (d["model"] if where == "model" else d["added_tokens"][0])[name] = value
+        with pytest.raises(ValueError, match=name):
+            PrefixCounter(json.dumps(d).encode())
+
+
+def test_query(spark, docs, rows, library, tmp_path):
+    from plumbline.llm.queries import op6_token_counts
+
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op6_token_counts(spark, f"file://{tmp_path}").collect()
+    want = [(k, len((t or "").encode()), library(t or ""), library(t or "") > 1024) for k, t, *_ in rows]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got), key=str) == sorted(want, key=str)
+    assert any(r.over_limit for r in got)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "two words", 5, 6)], "doc_id bigint, text string, n_tokens int, fit_chars int")
+    assert [tuple(r) for r in token_counts(df, FILE).collect()] == [(1, 9, 2, False, 9)]
