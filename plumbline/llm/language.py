@@ -13,8 +13,9 @@ Languages take texts in turn; a text that would go beyond the characters is skip
 
 Defined results: a null text and one without a letter are ``und`` with score 0, and so is every text if nothing could be
 learned; null ids take no part in training and are passed through, as not held out; a null language is never
-learned from; repeated rows give repeated rows; other columns are not read; an empty table gives an
-empty result. Letters outside the alphabet of the training texts count as one letter.
+learned from; repeated rows give repeated rows; of several texts of one id and language the longest is learned from; other columns, whatever
+their names, are not read; an empty table gives an empty result. Long texts are scored whole. Of languages with equal scores the first by name is
+predicted. All letters of the training texts, of any script, are told apart; others count as one letter.
 """
 
 from __future__ import annotations
@@ -29,16 +30,18 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 PER_LANG, MOST_LANGS, SAMPLE_CHARS = 300, 64, 40_000_000
-LANDMARKS, RIDGE, LONGEST, ALPHABET = 300, 0.1, 3, 96
+LANDMARKS, RIDGE, LONGEST = 300, 0.1, 3
+#: Numbers of n-grams up to which a table of all of them is made; beyond, those of the landmarks are searched by bisection.
+DENSE = 1 << 21
 #: Characters of texts worked on at a time.
 SHARD_CHARS = 1 << 20
 UNKNOWN = "und"
 
 
 class Codes:
-    """Characters as small numbers: 0 for what is no letter, 1 for letters outside the alphabet."""
+    """Characters as small numbers: 0 for what is no letter, 1 for letters that the training texts don't have."""
 
-    def __init__(self, texts: list[str], size: int = ALPHABET):
+    def __init__(self, texts: list[str]):
         seen: Counter[str] = Counter()
         for text in texts:
             seen.update(text)
@@ -46,16 +49,16 @@ class Codes:
         for c, n in seen.items():
             if c.isalpha():
                 common[c.lower()[0]] += n
-        self.letters = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: size - 2]]
+        self.letters = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
         self.base = len(self.letters) + 2
         number = {c: k + 2 for k, c in enumerate(self.letters)}
-        self.table = np.array([number.get(chr(k).lower()[0], 1) if chr(k).isalpha() else 0 for k in range(0x110000)], dtype=np.int32)
+        self.table = np.array([number.get(chr(k).lower()[0], 1) if chr(k).isalpha() else 0 for k in range(0x110000)], dtype=np.int64)
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The codes of all texts, each between two spaces, runs of spaces as one; and each code's text."""
         points = np.frombuffer(" ".join([f"{t} " for t in texts]).encode("utf-32-le", "replace"), dtype=np.uint32)
         text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
-        codes = np.append(np.int32(0), self.table[points])[: len(text)]
+        codes = np.append(np.int64(0), self.table[points])[: len(text)]
         # A text's first space stays beside the last one of the text before: two spaces are in no n-gram.
         keep = np.append(True, (codes[1:] != 0) | (codes[:-1] != 0) | (text[1:] != text[:-1]))
         return codes[keep], text[keep]
@@ -72,11 +75,11 @@ class Codes:
 class Model:
     """Fitted on (text, language); score() gives the weights of all languages for each text."""
 
-    def __init__(self, texts: list[str], langs: list[str], *, landmarks: int = LANDMARKS, ridge: float = RIDGE, longest: int = LONGEST, alphabet: int = ALPHABET):
+    def __init__(self, texts: list[str], langs: list[str], *, landmarks: int = LANDMARKS, ridge: float = RIDGE, longest: int = LONGEST):
         self.langs, self.longest = sorted(set(langs)), longest
         if not self.langs:
             return
-        self.codes = Codes(texts, alphabet)
+        self.codes = Codes(texts)
         # Landmarks: the first of each language in turn.
         order: dict[str, list[int]] = {}
         for k, lang in enumerate(langs):
@@ -88,9 +91,12 @@ class Model:
         for n, grams in enumerate(self.codes.grams(codes, longest), 1):
             own = np.unique(grams)
             own = own[~self._spaces(own, n)]
-            table = np.zeros(self.codes.base**n, dtype=np.int32)
-            table[own] = np.arange(size + 1, size + 1 + len(own))
-            self.tables.append(table)
+            if self.codes.base**n <= DENSE:
+                table = np.zeros(self.codes.base**n, dtype=np.int32)
+                table[own] = np.arange(size + 1, size + 1 + len(own))
+                self.tables.append((table, None, 0))
+            else:
+                self.tables.append((None, own, size + 1))
             size += len(own)
         self.size = size
         marks = self._unit(self.presence([texts[k] for k in chosen]))
@@ -115,6 +121,15 @@ class Model:
             out |= (a == 0) & (b == 0)
         return out
 
+    @staticmethod
+    def _columns(table: tuple, grams: np.ndarray) -> np.ndarray:
+        """The columns of n-grams; 0 for those of no landmark."""
+        dense, own, first = table
+        if dense is not None:
+            return dense[grams]
+        at = np.minimum(np.searchsorted(own, grams), max(len(own) - 1, 0))
+        return np.where(own[at] == grams, at + first, 0) if len(own) else np.zeros(len(grams), dtype=np.int64)
+
     def presence(self, texts: list[str]) -> np.ndarray:
         """A row for each text: 1 for each of the landmarks' n-grams that it has."""
         # Column 0 is for the n-grams of no landmark.
@@ -123,7 +138,7 @@ class Model:
         codes, text = self.codes.of(texts)
         base = text * (self.size + 1)
         for n, (grams, table) in enumerate(zip(self.codes.grams(codes, self.longest), self.tables, strict=True)):
-            flat[base[: len(base) - n] + table[grams]] = 1
+            flat[base[: len(base) - n] + self._columns(table, grams)] = 1
         return out[:, 1:]
 
     @staticmethod
@@ -184,7 +199,8 @@ def training_sample(df: DataFrame, *, per_lang: int = PER_LANG, most_langs: int
             kept.append(r)
     fits = in_turn([(r.lang, r.chars) for r in kept], sample_chars) or [min(range(len(kept)), key=lambda k: kept[k].chars)] * bool(kept)
     ids = sorted({kept[k].doc_id for k in fits})
-    texts = rows.where(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id", "lang"]).collect()
+    longest = F.max_by("text", F.struct(F.length("text"), F.xxhash64("text"), F.col("text"))).alias("text")
+    texts = rows.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(longest).collect()
     return sorted(((r.text, r.lang) for r in texts), key=lambda x: (x[1], hash_of(x[0])))
 
 

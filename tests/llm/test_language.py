@@ -79,3 +79,30 @@ def test_bound_of_characters_keeps_rare_languages(spark):
     got = language.training_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_chars=800)
     assert {x for _, x in got} == {"often", "rare"} and sum(len(t) for t, _ in got) <= 800
     assert language.in_turn([("a", 3), ("a", 3), ("a", 3), ("b", 99), ("b", 2)], 8) == [0, 1, 4]
+
+
+def test_scripts_of_many_letters():
+    """Languages of hundreds of letters beside a Latin one are told apart: their letters are not one."""
+    r = random.Random(4)
+    alphabets = {"han": [chr(0x4E00 + k) for k in range(0, 3000, 2)], "other": [chr(0x4E00 + k) for k in range(1, 3000, 2)], "hangul": [chr(0xAC00 + k) for k in range(900)], "latin": list("abcdefghij")}
+    text = lambda x: "".join(r.choices(alphabets[x], k=150))
+    langs = [x for x in sorted(alphabets) for _ in range(40)]
+    model = Model([text(x) for x in langs], langs)
+    test = [x for x in sorted(alphabets) for _ in range(25)]
+    got, scores = model.predict([text(x) for x in test])
+    assert sum(a == b for a, b in zip(got, test, strict=True)) >= 97 and all(0 <= x <= 1 for x in scores)
+
+
+def test_texts_of_one_id(spark):
+    """Of several texts of an id the longest is learned from, whatever the order of rows."""
+    texts = made_texts(60, 5)
+    rows = [(4 * k, t, x) for k, (t, x) in enumerate(texts)] + [(4 * k, t + " " + t, x) for k, (t, x) in enumerate(texts)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    one, two = (language.training_sample(spark.createDataFrame(some, "doc_id bigint, text string, lang string").repartition(3)) for some in (rows, rows[::-1]))
+    assert one == two and len(one) == len({r[0] for r in rows}) and {t for t, _ in one} == {r[1] for r in rows[len(rows) // 2 :]}
+
+
+def test_long_texts_and_clashing_names(spark):
+    rows = [(k, t * 2000 if k == 7 else t, x, 1, 2) for k, (t, x) in enumerate(made_texts(60, 6))]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int, lang_pred int")).collect()}
+    assert len(got) == 60 and got[7].lang_pred == rows[7][2]
