@@ -85,3 +85,15 @@ def test_parse_and_refuse():
 
 def test_empty(empty):
     assert encode(empty, MODEL).collect() == []
+
+
+def test_all_chunks_are_verified():
+    """Chunks behind line ends and stops too: wrong ids of any chunk are replaced by the library's."""
+    c, other = Codec(open(MODEL, "rb").read(), verify=True), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert c.lead is not None
+    right = c.backend
+    c.backend = type("Wrong", (), {"encode_batch_fast": staticmethod(lambda new, add_special_tokens: [type("Ids", (), {"ids": [7, 7]}) for _ in new])})
+    texts = ["first line\nsecond, with\n\nstops; and (more)!\n日本語\n", "\n\nx", ODD[15], *random_texts(200, seed=9)]
+    got = c.encode(texts)
+    assert [ids.tolist() for ids, _ in got] == other.encode(texts)
+    assert all(n for (_, n), t in zip(got, texts, strict=True) if t) and right is not c.backend
