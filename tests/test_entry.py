@@ -37,6 +37,15 @@ def test_without_the_training_operators(tmp_path, gone):
     assert got.stdout.strip() == "fine", got.stderr[-800:]
 
 
+def test_without_a_library_that_they_need(tmp_path):
+    """numpy can't be imported: the queries of the rest are there."""
+    (tmp_path / "numpy").mkdir()
+    (tmp_path / "numpy" / "__init__.py").write_text("raise ImportError('none here', name='numpy')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') for n in q); print('fine')"
+    got = subprocess.run([sys.executable, "-c", code], cwd=TOP, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{TOP}"})
+    assert got.stdout.strip() == "fine", got.stderr[-800:]
+
+
 def test_nothing_else_imports_them():
     for path in (TOP / "plumbline").rglob("*.py"):
         if "llm" not in path.relative_to(TOP).parts:
