@@ -42,8 +42,24 @@ BLOCK_BYTES = 8 << 20
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(LETTERS).split()
+#: Bytes of a text whose words are held as objects at a time, and suffixes that are sorted at a time: a long text takes no more.
+PIECE, SUFFIXES = 1 << 20, 1 << 19
+
+
+def words_of(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, in lists that make up a piece of it."""
+    data, at = (text or "").encode("utf-8", "replace").translate(LETTERS), 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
+def numbered(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The numbers of a text's words, 0 for those that the vocabulary doesn't have."""
+    found = [np.fromiter(map(vocabulary.get, words, repeat(0)), dtype=np.uint32, count=len(words)) for words in words_of(text)]
+    return np.concatenate(found) if found else np.empty(0, dtype=np.uint32)
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -111,7 +127,7 @@ class Items:
         known: dict = {}
         own = []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for words in words_of(text) for w in words]
             if ids:
                 own.append(known.setdefault(item, len(known)))
                 parts.append(np.array(ids, dtype=np.uint32))
@@ -131,17 +147,20 @@ class Items:
         reach = np.append(gaps, len(ids))[np.searchsorted(gaps, np.arange(len(ids)))] - np.arange(len(ids))
         starts = np.flatnonzero(reach >= self.tables[0].n)
         padded = np.append(ids, np.zeros(self.window, dtype=np.uint32))
-        rows = padded[starts[:, None] + np.arange(self.window)]
-        rows[np.arange(self.window) >= reach[starts][:, None]] = 0
-        keys = self.tables[0].key(rows)
-        order = np.argsort(keys, kind="stable")
-        suffixes, keys = starts[order], keys[order]
-        for table in self.tables:
-            low = np.searchsorted(keys, table.keys, "left")
-            # The last of the suffixes that begin with the window: what is behind it doesn't matter.
-            high = np.searchsorted(keys, table.keys, "right") if table.n == self.window else np.searchsorted(keys, np.array([k.ljust(4 * table.n, b"\0").ljust(4 * self.window, b"\xff") for k in table.keys.tolist()], dtype=f"S{4 * self.window}"), "right")
-            at = suffixes[spread(low, high - low)]
-            number = np.repeat(np.arange(1, len(low) + 1), high - low)
+        # The last of the suffixes that begin with a shorter window: what is behind it doesn't matter.
+        ends = [t.keys if t.n == self.window else np.array([k.ljust(4 * t.n, b"\0").ljust(4 * self.window, b"\xff") for k in t.keys.tolist()], dtype=f"S{4 * self.window}") for t in self.tables]
+        found: list[list] = [[] for _ in self.tables]
+        for some in (starts[k : k + SUFFIXES] for k in range(0, len(starts), SUFFIXES)):
+            rows = padded[some[:, None] + np.arange(self.window)]
+            rows[np.arange(self.window) >= reach[some][:, None]] = 0
+            keys = self.tables[0].key(rows)
+            order = np.argsort(keys, kind="stable")
+            suffixes, keys = some[order], keys[order]
+            for table, end, own in zip(self.tables, ends, found, strict=True):
+                low, high = np.searchsorted(keys, table.keys, "left"), np.searchsorted(keys, end, "right")
+                own.append((suffixes[spread(low, high - low)], np.repeat(np.arange(1, len(low) + 1), high - low)))
+        for table, own in zip(self.tables, found, strict=True):
+            at, number = (np.concatenate([x[k] for x in own]) if own else np.empty(0, dtype=np.int64) for k in range(2))
             by_place = np.argsort(at, kind="stable")
             yield table, at[by_place], number[by_place]
 
@@ -171,9 +190,8 @@ def find(texts: list[str | None], items: Items):
     for shard in shards(texts):
         lengths, parts = [], []
         for text in shard:
-            words = words_of(text)
-            lengths.append(len(words))
-            parts.append(np.fromiter(map(items.vocabulary.get, words, repeat(0)), dtype=np.uint32, count=len(words)))
+            parts.append(numbered(text, items.vocabulary))
+            lengths.append(len(parts[-1]))
             parts.append(np.zeros(1, dtype=np.uint32))  # nothing matches across texts
         starts = np.cumsum([0, *(n + 1 for n in lengths)])
         found = [(table, at, number, np.searchsorted(at, starts)) for table, at, number in items.search(np.concatenate(parts))]

@@ -92,6 +92,20 @@ def test_matches_against_brute_force(seed):
             assert words(dict(items)[item])[at : at + m] == words(t)[start : start + m] and len(words(dict(items)[item])[at : at + m]) == m
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_pieces_of_texts_and_suffixes(seed, monkeypatch):
+    """Cut into pieces of any size, texts have the same words and matches."""
+    from plumbline.llm import decontaminate as own
+
+    r = random.Random(seed)
+    items = Items([(k, " ".join(r.choices("abc", k=r.randint(1, 9)))) for k in range(5)], 3)
+    texts = [" ".join(r.choices(["a", "b", "c", "zz,", ""], k=r.randint(0, 200))) for _ in range(4)]
+    want = list(find(texts, items))
+    monkeypatch.setattr(own, "PIECE", r.randint(1, 30))
+    monkeypatch.setattr(own, "SUFFIXES", r.randint(1, 30))
+    assert list(find(texts, items)) == want and [n for n, *_ in want] == [len(words(t)) for t in texts]
+
+
 def test_memory_of_equal_words():
     """Places and items aren't multiplied: 200,000 equal words, an item of 2,000 of them."""
     import tracemalloc
