@@ -147,3 +147,14 @@ def test_links_that_no_centre_has(spark):
     run, buckets, comps, own = bucket_of(spark, sets, range(len(sets)))
     got = {r.node: r.comp for r in run.rest(buckets, comps, own).collect()}
     assert {got.get(k, k) for k in range(60)} == {0} and [got.get(k, k) for k in (60, 61, 62)] == [60, 61, 62]
+
+
+def test_clashing_names_and_long_texts(spark):
+    """Columns named like those that the stages add; a text of 50,000 words, twice."""
+    long = " ".join(map(str, range(50_000)))
+    rows = [(1, long, 1, 2, 3), (2, long + " end", 4, 5, 6), (3, "a b c", 7, 8, 9), (3, "a b c", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, node int, keys int, n int")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, percent=85).collect()) == [(1, 49_996, 1, True), (2, 49_997, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
+    other = df.withColumnsRenamed({"node": "_row", "keys": "_who", "n": "kept"})
+    got = minhash.representatives(other)
+    assert got.columns == other.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
