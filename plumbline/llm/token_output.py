@@ -34,7 +34,7 @@ from .common import AT_A_TIME, BROADCAST_KEYS, Scratch, let, map_texts, running_
 from .shingles import BASE, mixed
 from .token_counts import WS
 
-LENGTH, PER_SHARD, ROUNDS = 1024, 8192, 6
+LENGTH, PER_SHARD, ROUNDS = 1024, 4096, 6
 #: Runs of white space that are taken apart from a text: the library's matching goes back over them and overflows its stack.
 BLANKS = re.compile(f"[{WS}]{{1000,}}")
 #: Behind each record.
@@ -77,17 +77,18 @@ class Ranks:
 
         known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
-        self.plain, self.single = core.encode_ordinary, core._core_bpe.encode_single_piece
+        self.plain, self.single = core._core_bpe.encode_to_tiktoken_buffer, core._core_bpe.encode_single_piece
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """The ids of a text of any length. A long run of white space is one word, at once; before other characters its last one belongs to these."""
-        ids, at = [], 0
+        parts, at = [], 0
         for run in BLANKS.finditer(text):
             end = run.end() - (run.end() < len(text))
-            ids += self.plain(text[at : run.start()])
-            ids += self.single(text[run.start() : end].encode())
+            parts.append(np.frombuffer(self.plain(text[at : run.start()], set()), dtype="<u4"))
+            parts.append(np.array(self.single(text[run.start() : end].encode()), dtype="<u4"))
             at = end
-        return ids + self.plain(text[at:]) if at else self.plain(text)
+        parts.append(np.frombuffer(self.plain(text[at:], set()), dtype="<u4"))
+        return np.concatenate(parts) if at else parts[0]
 
 
 _READY: dict[int, Ranks] = {}
@@ -124,17 +125,18 @@ class TokenOutput:
                 nonlocal place
                 parts, starts, counts, tokens = [part] * len(texts), [], [], []
                 for text in texts:
-                    ids = [*encode(text), end] if text else []
+                    ids = np.append(encode(text), end) if text else np.empty(0)
                     starts.append(place)
                     counts.append(len(ids))
-                    tokens.append(np.array(ids, dtype=kind).tobytes())
+                    tokens.append(ids.astype(kind).tobytes())
                     place += len(ids)
                 return parts, starts, counts, tokens
 
             return work
 
         tokens = map_texts(df, make, "part bigint, start bigint, n bigint, tokens binary", id_col=id_col, text_col=text_col)
-        self.tokens = self.scratch.cut(tokens, "tokens")
+        # Long pages, as texts that repeat each other are then in one; this table is held beside the shuffle and the shards.
+        self.tokens = self.scratch.cut(tokens, "tokens", parquet_compression_codec_zstd_level=6, parquet_page_size=16 << 20)
         sums = self.tokens.groupBy("part").agg(F.sum("n").alias("n"))
         self.n_tokens, self.n_parts = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         self.bases = running_base(sums, "part", "n")
@@ -142,6 +144,15 @@ class TokenOutput:
         self.n_shards = max(1, -(-self.n_sequences // per_shard))
         self.order = Feistel(self.n_sequences, key)
 
+    def dictionary(self, rows: int = 1500, size: int = 16 << 10, most: int = 128 << 10) -> bytes:
+        """What is frequent in some of the ids, for compressing records one by one. Records don't depend on it; ``rows`` and ``size`` (bytes of each) bound the sample."""
+        import zstandard
+
+        some = self.tokens.where("n >= 64").select(F.substring("tokens", 1, size).alias("tokens")).limit(rows).collect()
+        record = self.length * np.dtype(number_type(self.end)).itemsize
+        samples = [r.tokens[k : k + record] for r in some for k in range(0, len(r.tokens), record)]
+        return zstandard.train_dictionary(most, samples).as_bytes() if len(samples) > 1000 and sum(map(len, samples)) > 8 * most else b""
+
     def sequences(self, tokens: bool = True) -> DataFrame:
         """slot, shard, sequence (long), doc_ids (array, in order), tokens (binary, length ids); partition s is shard s, in the order of slots.
 
@@ -153,9 +164,14 @@ class TokenOutput:
         rows = self.tokens.where("n > 0").join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("place"), "n", (F.col("tokens") if tokens else F.lit(None).cast("binary")).alias("tokens"))
         ids = f"doc_ids array<{self.tokens.schema['doc_id'].dataType.simpleString()}>"
 
+        # Ids are most of what is shuffled; Spark's own compression of blocks leaves a third more of them.
+        shared = self.dictionary() if tokens else b""
+
         def pieces(batches: Iterator) -> Iterator:
             import pyarrow as pa
+            import zstandard
 
+            packed = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared)).compress
             for whole in batches:
                 place, n = (whole.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
                 # Documents that follow on one another are one stretch of the stream.
@@ -173,7 +189,7 @@ class TokenOutput:
                     cuts = zip(((begin - starts[0]) * width).tolist(), ((stop - starts[0]) * width).tolist(), strict=True)
                     slot = order.slots(sequence)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(sequence), pa.array(begin - sequence * length), pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), batch.column(0).take(pa.array(own))), pa.array([held[x:y] for x, y in cuts] if tokens else [None] * len(slot), type=pa.binary())],
+                        [pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(sequence), pa.array(begin - sequence * length), pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), batch.column(0).take(pa.array(own))), pa.array([packed(held[x:y]) for x, y in cuts] if tokens else [None] * len(slot), type=pa.binary())],
                         names=["shard", "slot", "sequence", "at", "doc_ids", "tokens"],
                     )
 
@@ -182,13 +198,15 @@ class TokenOutput:
 
         def joined(batches: Iterator) -> Iterator:
             import pyarrow as pa
+            import zstandard
 
+            unpacked = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared)).decompress
             size, fill = length * width, np.array([end], dtype=kind).tobytes()
             names, kinds = ["slot", "shard", "sequence", "doc_ids", "tokens"], None
             open_: list = []  # slot, shard, sequence, ids, parts of the record at hand
 
             def record(x: list) -> tuple:
-                ids = b"".join(x[4]) if tokens else None
+                ids = b"".join(map(unpacked, x[4])) if tokens else None
                 return x[0], x[1], x[2], x[3], ids + fill * ((size - len(ids)) // width) if tokens else None
 
             def out(done: list) -> pa.RecordBatch:
