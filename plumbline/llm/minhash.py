@@ -9,7 +9,7 @@
 4. A link between two nodes neither of which was a centre would be missed. So buckets that still hold several
    components are looked at again. A node can have a link to another component only if enough of its shingles
    occur in other components, for the size of some node of another component in its bucket; the others are done. Of the rest,
-   each bucket takes another centre, for ``STARS`` rounds or until no link is found: m - 1 candidates again.
+   each bucket takes another centre, for ``STARS`` more rounds or until no link is found: m - 1 candidates again.
    What is then left is listed: pairs of different components are
    candidates if the shingles that other components have too, counted by groups of hashes, are enough for a
    link: a pair's intersection is at most the sum of the smaller counts of each group. These bounds are
@@ -46,7 +46,7 @@ GROUPS = 32
 #: Candidates whose ids may be broadcast to read their texts again; more are joined by a shuffle.
 BROADCAST_NODES = 1 << 18
 #: Further rounds of stars before what is left is listed.
-STARS = 2
+STARS = 1
 
 
 def rows_for(percent: int, bands: int = BANDS, miss: float = 1e-6) -> int:
@@ -181,12 +181,14 @@ class NearDuplicates:
     def viable(self, rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """band, key, node, n, comp, avail and counts (shingles that another component has, in all and by group) of the rows of buckets
         whose node may have a link to another component there; in buckets of several components."""
-        at = rows.select("node", "comp", "n").distinct().join(sets, "node").select("node", "comp", "n", F.explode("set").alias("h"))
-        shared = at.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+        live = self.scratch.cut(rows.select("node", "comp", "n").distinct(), f"{name}-all")
         group = F.pmod(F.col("h"), F.lit(GROUPS))
         counts = F.array(*(F.count(F.when(group == k, F.lit(1))).cast("int") for k in range(GROUPS))).alias("counts")
-        found = at.join(self.scratch.cut(shared, f"{name}-shared"), "h").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("avail"), counts)
-        live = self.scratch.cut(found.where(self.enough(F.col("avail"), F.col("n"), F.col("avail"))).drop("n"), f"{name}-live")
+        for k in range(2):  # what is left out takes its shingles with it
+            at = live.select("node", "comp", "n").join(sets, "node").select("node", "comp", "n", F.explode("set").alias("h"))
+            shared = at.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+            found = at.join(self.scratch.cut(shared, f"{name}-shared{k}"), "h").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("avail"), counts)
+            live = self.scratch.cut(found.where(self.enough(F.col("avail"), F.col("n"), F.col("avail"))), f"{name}-live{k}")
         rows = self.scratch.cut(rows.select("band", "key", "node", "n", "comp").join(live.select("node", "avail"), "node"), f"{name}-rows")
         for k in range(2):
             # An intersection is at most avail: the smallest node of the bucket shows whether it may be enough.
@@ -218,8 +220,11 @@ class NearDuplicates:
         return a.join(b, on).select(x("node").alias("a"), y("node").alias("b"))
 
     def merged(self, links: DataFrame, comps: DataFrame, name: str) -> DataFrame:
-        """Components with further links."""
-        return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(self._between(links, comps)), self.scratch, name)
+        """Components with further links: the components of components, which are few."""
+        joined = components(self._between(links, comps), self.scratch, name).select(F.col("node").alias("comp"), F.col("comp").alias("least"))
+        moved = comps.join(joined, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+        # A component's least node is not among its members in comps.
+        return self.scratch.cut(moved.union(joined.select("comp", "least")), f"{name}-merged")
 
     def rest(self, buckets: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
         """Components with the links that the first stars have missed."""
