@@ -9,7 +9,7 @@ by one at most.
 The hash takes the row's place in its input partition with the id: rows that repeat, ids that do and
 null ids are spread like others, and no group of rows weighs on a bucket. The order is a
 function of the seed, the rows and how the input is partitioned; neither settings of shuffles nor the order in which their blocks arrive
-matter. Buckets and tasks follow the bytes of the input: a task holds ``task_bytes`` of buckets, however large the input is.
+matter. Buckets and tasks follow the bytes of the input.
 
 Defined results: a null text has no bytes and no checksum; a null id is a value like others;
 repeated rows are dealt out one by one; equal hashes are ordered by place; an empty table gives an empty result; all columns of the
@@ -26,8 +26,9 @@ from .common import BROADCAST_KEYS, Scratch, running_base, set_aside
 
 #: Bytes of texts in a bucket.
 BUCKET_BYTES = 4 << 20
-#: Bytes of texts in the buckets of a task of the second pass.
-TASK_BYTES = 64 << 20
+#: Bytes of texts in the buckets of a task of the second pass; tasks at most. Beyond them (1 TB) tasks grow: their rows are sorted,
+#: on disk where memory ends, and the aggregate holds 128 buckets at most.
+TASK_BYTES, MOST_TASKS = 32 << 20, 32_768
 
 
 def text_size(text: Column) -> Column:
@@ -39,9 +40,7 @@ def shuffled(df: DataFrame, n_shards: int, *, seed: int = 42, id_col: str = "doc
     df = set_aside(df, ("shard", "slot"))
     scratch = Scratch(df.sparkSession, "sharding")
     size = df.agg(F.coalesce(F.sum(text_size(F.col(text_col)) + 64), F.lit(0))).first()[0]
-    n_buckets, n_tasks = size // bucket_bytes + 1, size // task_bytes + 1
-    # A few tasks more while they are cheap: an input smaller than a task's share is still worked on in parallel.
-    n_tasks = max(n_tasks, min(n_buckets, 64))
+    n_buckets, n_tasks = size // bucket_bytes + 1, min(size // task_bytes + 1, MOST_TASKS)
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)))
     numbered = df.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("id"), row.alias("row"))
     scattered = numbered.select(F.xxhash64(F.lit(seed), F.col("id"), F.col("place")).alias("h"), "place", "row").withColumn("bucket", F.pmod("h", F.lit(n_buckets)))

@@ -92,3 +92,15 @@ def test_long_texts(spark):
     df = spark.createDataFrame([(k, "x" * (3_000_000 if k == 5 else 3)) for k in range(40)], "doc_id bigint, text string")
     got = sharding.shuffled(df, 4, bucket_bytes=1000).collect()
     assert sorted((r.doc_id, len(r.text)) for r in got) == [(k, 3_000_000 if k == 5 else 3) for k in range(40)]
+
+
+def test_a_cluster_has_to_name_its_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from plumbline.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert shared_dir(spark)
