@@ -9,7 +9,8 @@
 4. A link between two nodes neither of which was a centre would be missed. So buckets that still hold several
    components are looked at again. A node can have a link to another component only if enough of its shingles
    occur in other components, for the size of some node of another component in its bucket; the others are done. Of the rest,
-   each bucket takes another centre, for ``STARS`` more rounds or until no link is found: m - 1 candidates again.
+   each bucket takes another centre, for ``STARS`` more rounds or until no link is found: m - 1 candidates again. Components
+   only grow, so a node that was done stays so: a round begins with the rows that the one before has left.
    What is then left is listed: pairs of different components are
    candidates if the shingles that other components have too, counted by groups of hashes, are enough for a
    link: a pair's intersection is at most the sum of the smaller counts of each group. These bounds are
@@ -34,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, set_aside
+from .common import BROADCAST_KEYS, Scratch, map_texts, only_for, set_aside
 from .shingles import BASE, mixed, numbers, set_hash, shingle_sets
 
 BINS_LOG = 8
@@ -144,6 +145,8 @@ class NearDuplicates:
         self.sketches = self.scratch.cut(map_texts(df, _sketch(size, bands, rows), schema, id_col=id_col, text_col=text_col), "sketches")
         nodes = self.sketches.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
         self.nodes = self.scratch.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        self.sketches = self.scratch.cut(self.sketches.drop("keys"), "sizes")  # texts of one set have the same keys: the nodes hold them
+        self.scratch.drop("sketches")
 
     def enough(self, inter: Column, n: Column, m: Column) -> Column:
         """Whether so large an intersection of sets of n and m makes a link."""
@@ -174,7 +177,7 @@ class NearDuplicates:
 
     def unresolved(self, buckets: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows of buckets that hold several components, with comp."""
-        rows = buckets.join(comps, "node", "left").select("band", "key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        rows = buckets.select("band", "key", "node", "n").join(comps, "node", "left").select("band", "key", "node", "n", F.coalesce("comp", "node").alias("comp"))
         several = rows.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
         return rows.join(self.scratch.cut(several, "several"), ["band", "key"], "left_semi")
 
@@ -187,8 +190,9 @@ class NearDuplicates:
         for k in range(2):  # what is left out takes its shingles with it
             at = live.select("node", "comp", "n").join(sets, "node").select("node", "comp", "n", F.explode("set").alias("h"))
             shared = at.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-            found = at.join(self.scratch.cut(shared, f"{name}-shared{k}"), "h").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("avail"), counts)
-            live = self.scratch.cut(found.where(self.enough(F.col("avail"), F.col("n"), F.col("avail"))), f"{name}-live{k}")
+            found = at.select("node", "h").join(self.scratch.cut(shared, f"{name}-shared{k}"), "h").groupBy("node").agg(F.count(F.lit(1)).alias("avail"), counts)
+            live = self.scratch.cut(live.select("node", "comp", "n").join(found, "node").where(self.enough(F.col("avail"), F.col("n"), F.col("avail"))), f"{name}-live{k}")
+            self.scratch.drop(f"{name}-shared{k}")
         rows = self.scratch.cut(rows.select("band", "key", "node", "n", "comp").join(live.select("node", "avail"), "node"), f"{name}-rows")
         for k in range(2):
             # An intersection is at most avail: the smallest node of the bucket shows whether it may be enough.
@@ -228,8 +232,9 @@ class NearDuplicates:
 
     def rest(self, buckets: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
         """Components with the links that the first stars have missed."""
+        rows = buckets
         for k in range(STARS + 1):
-            rows = self.viable(self.unresolved(buckets, comps), sets, f"viable{k}")
+            rows = self.viable(self.unresolved(rows, comps), sets, f"viable{k}")
             if rows.isEmpty():
                 return comps
             links = self.confirmed(self.again(rows, k + 1) if k < STARS else self.across(rows), sets, f"more{k}")
@@ -272,11 +277,19 @@ def near_duplicates(df: DataFrame, *, size: int = 5, percent: int = 80, bands: i
 def representatives(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component, with all columns: that of the least id, nulls last; of rows with the same id, the first.
 
-    Rows are told apart by a number, which is written first, so that it is the same in every pass; ids may repeat or be null."""
+    Rows are told apart by a number, which is written first, so that it is the same in every pass; ids may repeat or be null.
+    Which rows go is a bit for each row, 64 in a number, for numbers with a bit set: these are broadcast, so the texts stay where they are."""
     names = df.columns
-    df = set_aside(df, ("_row", "_who"))
-    numbered = Scratch(df.sparkSession, "rows").cut(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    df = set_aside(df, ("_row", "_who", "_part", "_gone"))
+    scratch = Scratch(df.sparkSession, "rows")
+    numbered = scratch.cut(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
     own = F.col(f"`{df.columns[names.index(id_col)]}`")
     who = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("_row").alias("row"))
-    kept = near_duplicates(numbered.select(who.alias("_who"), F.col(f"`{df.columns[names.index(text_col)]}`").alias("_text")), id_col="_who", text_col="_text", **options)
-    return numbered.join(kept.where("kept").select(F.col("doc_id.row").alias("_row")), "_row", "left_semi").drop("_row").toDF(*names)
+    part, bit = F.shiftright("_row", 6).alias("_part"), F.col("_row").bitwiseAND(63).cast("int")
+    with only_for():
+        found = near_duplicates(numbered.select(who.alias("_who"), F.col(f"`{df.columns[names.index(text_col)]}`").alias("_text")), id_col="_who", text_col="_text", **options)
+        bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_gone")
+        gone = scratch.cut(found.where("NOT kept").select(F.col("doc_id.row").alias("_row")).groupBy(part).agg(bits), "gone")
+    few = gone.count() <= BROADCAST_KEYS
+    marked = numbered.withColumn("_part", part).join(F.broadcast(gone) if few else gone, "_part", "left")
+    return marked.where(F.coalesce(F.getbit("_gone", bit), F.lit(0)) == 0).select(*(f"`{c}`" for c in df.columns)).toDF(*names)

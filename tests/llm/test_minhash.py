@@ -158,3 +158,52 @@ def test_clashing_names_and_long_texts(spark):
     other = df.withColumnsRenamed({"node": "_row", "keys": "_who", "n": "kept"})
     got = minhash.representatives(other)
     assert got.columns == other.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_later_rounds_begin_with_what_is_left(spark, monkeypatch):
+    """Of nodes that can't have a link, none is looked at in the second round."""
+    seen = []
+    viable = minhash.NearDuplicates.viable
+
+    def watched(self, rows, sets, name):
+        out = viable(self, rows, sets, name)
+        seen.append(({r.node for r in rows.collect()}, {r.node for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(minhash.NearDuplicates, "viable", watched)
+    chain = [set(range(4 * k, 4 * k + 100)) for k in range(60)]
+    sets = chain + [set(range(10_000 + 200 * k, 10_100 + 200 * k)) for k in range(500)]
+    run, buckets, comps, own = bucket_of(spark, sets, range(len(sets)))
+    got = {r.node: r.comp for r in run.rest(buckets, comps, own).collect()}
+    assert {got.get(k, k) for k in range(60)} == {0} and all(got.get(k, k) == k for k in range(60, 560))
+    assert len(seen) == 2 and len(seen[0][0]) == 560 and seen[1][0] <= seen[0][1] <= set(range(60))
+
+
+def first_of_each(rows, percent):
+    """The rows that representatives() leaves, as a sorted list: of each component that of the least id, nulls last, then the first."""
+    numbers = brute([(k, r[1]) for k, r in enumerate(rows)], percent)
+    members = {}
+    for k, _, c in numbers:
+        members.setdefault(c, []).append(k)
+    return sorted((rows[min(m, key=lambda k: (rows[k][0] is None, rows[k][0], k))] for m in members.values()), key=str)
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_representatives_leave_texts_where_they_are(spark, rows, monkeypatch, most):
+    """One row of each component, without a shuffle of the rows unless there are too many to drop; the tables of the search are gone."""
+    if most is not None:
+        monkeypatch.setattr(minhash, "BROADCAST_KEYS", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tables = list(Scratch.live)
+    try:
+        own = [r[:2] for r in rows] + [(5000 + k, t) for k, t in enumerate(families(4, 6, 40))]
+        df = spark.createDataFrame([(*r, k) for k, r in enumerate(own)], "doc_id bigint, text string, _Gone int").coalesce(1)
+        got = minhash.representatives(df, percent=80)
+        assert got.columns == ["doc_id", "text", "_Gone"]
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == first_of_each(own, 80)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning" in plan) == (most == 0)
+        assert [s.root.rsplit("/", 1)[1].split("-")[0] for s in Scratch.live if s not in tables] == ["rows"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
