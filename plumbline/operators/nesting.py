@@ -6,16 +6,20 @@ left out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .selection import Node
 
+#: Bytes of the tables, as they are stored, and rows for each task that puts objects together; the most such tasks. From UNKNOWN on, a size is Spark's stand-in for none.
+TASK_BYTES, TASK_ROWS, MOST_TASKS, UNKNOWN = 2 << 20, 100_000, 1 << 15, 1 << 60
+
 
 class Record(dict):
     """A result object; fields can be read as attributes too."""
@@ -78,12 +82,40 @@ def plain(value: Any) -> Any:
     return [plain(x) for x in value] if isinstance(value, list) else value
 
 
+def tasks_of(flat: DataFrame) -> int | None:
+    """Tasks that grow with what the tables of the flat rows hold, whatever the number of shuffle partitions; None if a table's size isn't known. Nothing runs."""
+    plan, spark = flat._jdf.queryExecution().optimizedPlan(), flat.sparkSession
+    leaves = plan.collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    if any(size >= UNKNOWN for size in sizes):
+        return None
+    tasks = max(-(-sum(sizes) // TASK_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    most = plan.maxRows()
+    return max(1, min(tasks, MOST_TASKS, -(-most.get() // TASK_ROWS) if most.isDefined() else MOST_TASKS))
+
+
+def _carried(parent: Node, name: str) -> bool:
+    """Whether the relation is the same in all rows of one parent, by keys that are unique: then its object is a field of the parent's."""
+    child = parent.children[name]
+    known = parent.entity.unique and child.entity.unique and not child.relation.many and bool(child.entity.pk) and {*child.entity.pk} <= {b for _, b in child.relation.on}
+    return known and name not in parent.fields and all(_carried(child, x) for x in child.children)
+
+
+def _gathered(node: Node) -> Iterator[Node]:
+    """The node and all below whose objects have rows of their own, parents first."""
+    yield node
+    for name, child in node.children.items():
+        if not _carried(node, name):
+            yield from _gathered(child)
+
+
 def nested_frame(flat: DataFrame, root: Node) -> DataFrame:
     """The same as a DataFrame: a column for each selected field and relation, rows in the order of the flat ones.
 
-    The flat rows are read once and dealt once, by the root's key. Each stands for an object of every node: rows of objects are
-    made distinct, then, from the deepest nodes up, gathered in their parents; the dealing holds for all of these groups."""
-    nodes = list(root.walk())
+    The flat rows are read once and dealt once, by the root's key, to tasks that follow the size of the tables. Each stands for an
+    object of every node that isn't carried by its parent: rows of objects are made distinct, then, from the deepest nodes up, gathered
+    in their parents; the dealing holds for all of these groups. Rows are made distinct by one sort, which a pair of aggregates would hold twice."""
+    nodes = list(_gathered(root))
     keys = [[f"_k{m}_{i}" for i in range(len(node.entity.pk))] for m, node in enumerate(nodes)]
     number = {node.steps: m for m, node in enumerate(nodes)}
     below = [[k for k, other in enumerate(nodes) if other.steps[: len(node.steps)] == node.steps] for node in nodes]
@@ -96,30 +128,37 @@ def nested_frame(flat: DataFrame, root: Node) -> DataFrame:
         return test
 
     def own(node: Node) -> Column:
-        """The node's fields, if it and all above it are objects."""
+        """The node's fields and the objects it carries, if it and all above it are objects."""
         test = is_one(root)
         for k in range(1, len(node.steps) + 1):
-            test = test & is_one(nodes[number[node.steps[:k]]])
-        return F.when(test, F.struct(*(F.col(f"`{node.column(f)}`").alias(f) for f in node.fields) if node.fields else (F.lit(None).cast("void").alias("_none"),)))
+            test = test & is_one(root.at(node.steps[:k]))
+        parts = [*(F.col(f"`{node.column(f)}`").alias(f) for f in node.fields), *(own(child).alias(name) for name, child in node.children.items() if _carried(node, name))]
+        return F.when(test, F.struct(*(parts or [F.lit(None).cast("void").alias("_none")])))
 
     named = [F.col(f"`{node.column(k)}`").alias(name) for node, names in zip(nodes, keys, strict=True) for k, name in zip(node.entity.pk, names, strict=True)]
     rows = flat.withColumn("_at", F.monotonically_increasing_id()).select("_at", *named, *(own(node).alias(f"_v{m}") for m, node in enumerate(nodes)))
-    dealt = rows.repartition(*keys[0]).withColumn("_n", F.explode(F.array(*map(F.lit, range(len(nodes))))))
+    tasks = tasks_of(flat)
+    dealt = (rows.repartition(tasks, *keys[0]) if tasks else rows.repartition(*keys[0])).withColumn("_n", F.explode(F.array(*map(F.lit, range(len(nodes))))))
     n = F.col("_n")
 
+    def first(df: DataFrame, *by: str, at: Column) -> DataFrame:
+        """The first row of each group."""
+        return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(at))).where(F.col("_rank") == 1).drop("_rank")
+
     # The keys of the nodes on the way to that of the row; others are null.
     masked = [F.when(n.isin(below[m]), F.col(k)).alias(k) if m else F.col(k) for m, names in enumerate(keys) for k in names]
     values = [f"_v{m}" for m in range(len(nodes))]
     found = dealt.select("_n", "_at", *masked, *(F.when(n == m, F.col(v)).alias(v) for m, v in enumerate(values))).where(reduce(or_, (F.col(v).isNotNull() for v in values)))
-    found = found.groupBy("_n", *every, *values).agg(F.min("_at").alias("_at"))
-    if not all(node.entity.unique for node in nodes):  # of the rows of one key, the first's fields
-        found = found.groupBy("_n", *every).agg(*(F.min_by(v, "_at").alias(v) for v in values), F.min("_at").alias("_at"))
+    found = first(found, "_n", *every, at=F.col("_at"))  # of the rows of one key, the first's fields
 
     def built(m: int) -> list[Column]:
         """The fields and children of a row's object."""
         node = nodes[m]
         parts = [F.col(f"_v{m}")[f].alias(f) for f in node.fields]
         for name, child in node.children.items():
+            if _carried(node, name):
+                parts.append(F.col(f"_v{m}")[name].alias(name))
+                continue
             listed = F.transform(F.array_sort(f"_l{number[child.steps]}"), lambda x: x["o"])
             parts.append((listed if child.relation.many else F.get(listed, 0)).alias(name))
         return parts
@@ -135,7 +174,8 @@ def nested_frame(flat: DataFrame, root: Node) -> DataFrame:
         objects = [F.when(n == m, F.struct(*built(m)) if built(m) else F.struct(F.lit(None).cast("void").alias("_none"))).alias(f"_o{m}") for m in here]
         kept = [k for m in above for k in keys[m]]
         step = found.select(parent.alias("_n"), *kept, F.when(~moved, F.col("_at")).alias("_at"), F.when(moved, F.col("_at")).alias("_child"), *(f"_v{m}" for m in above), *objects)
-        step = step.groupBy("_n", *kept, *(f"_v{m}" for m in above), *(f"_o{m}" for m in here)).agg(F.min("_at").alias("_at"), F.min("_child").alias("_child"))
+        step = first(step, "_n", *kept, *(f"_o{m}" for m in here), at=F.col("_child"))
         gathered = [F.collect_list(F.when(F.col(f"_o{m}").isNotNull(), F.struct("_child", F.col(f"_o{m}").alias("o")))).alias(f"_l{m}") for m in here]
         found = step.groupBy("_n", *kept).agg(F.min("_at").alias("_at"), *(F.min_by(f"_v{m}", "_at").alias(f"_v{m}") for m in above), *gathered)
+    found = found.repartitionByRange(tasks, "_at") if tasks else found  # the order's own exchange
     return found.orderBy("_at").select(*(built(0) or [F.lit(None).cast("void").alias("_none")]))
