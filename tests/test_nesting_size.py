@@ -41,6 +41,12 @@ def test_memory_of_nested_run(spark):
     assert memory_of(spark, "nest_run") < 120
 
 
+@needs_tables
+def test_memory_of_nested_lists(spark):
+    """Orders without a line have an empty list."""
+    assert memory_of(spark, "nest_empty_list") < 100
+
+
 @needs_tables
 def test_tasks_follow_the_tables(spark, monkeypatch):
     """Not the number of shuffle partitions, nor beyond what a page's rows need; without tables of a known size, that number."""
