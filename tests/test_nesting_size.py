@@ -81,3 +81,9 @@ def test_objects_that_are_carried_are_the_same(spark):
             builder = QueryBuilder(catalog, "a").build(select=select, sort=["-id"], join_type="left")
             strip = lambda x: {k: strip(v) for k, v in x.items() if k != "_none"} if isinstance(x, dict) else [strip(y) for y in x] if isinstance(x, list) else x
             assert [strip(r.asDict(recursive=True)) for r in builder.nested_df().collect()] == builder.serialize(builder.fetch()), (unique, select)
+
+
+@needs_tables
+def test_memory_of_nested_levels(spark):
+    """Customers with their orders with their lines."""
+    assert memory_of(spark, "nest_two_levels") < 150
